@@ -8,7 +8,7 @@ from importlib import import_module
 from tickerloom.catalog import registry
 from tickerloom.session import ship_package
 
-MODULES = ["bars"]
+MODULES = ["bars", "news", "evaluation"]
 
 
 def prepared(fn):

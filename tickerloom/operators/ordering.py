@@ -9,10 +9,12 @@ A group that holds a third of all rows is therefore spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickerloom.functions.numbers import HASH_MODULUS, hash_order
+from tickerloom.functions.numbers import hash_order
 
 BUCKET_ROWS = 1_000_000
 BUCKET_BITS = 11
@@ -61,33 +63,44 @@ def value_bucket(value: str, bounds: str, bits: int = BUCKET_BITS) -> Column:
         lambda seen, step: F.when(F.get(F.col(bounds), seen + step - 1) <= F.col(value), seen + step).otherwise(seen))
 
 
+def cut_by_value(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:
+    """Add _bucket, an ordered bucket number, to rows with distinct values per group.
+
+    Bounds are approximate quantiles of all values, hence no (group, bucket) holds much
+    more than 1 / 2**bits of the rows, whatever the group sizes are. They only decide
+    which task handles a row, so results built on the buckets are exact.
+    """
+    parts = 1 << bits
+    # One text literal keeps the plan short; it folds to an array before execution.
+    fractions = F.split(F.lit(",".join(str(i / parts) for i in range(1, parts))), ",").cast("array<double>")
+    bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), fractions, F.lit(parts * 4)).alias("_bounds"))
+    return (df.withColumn("_bounds", bounds.scalar())
+            .withColumn("_bucket", value_bucket(value, "_bounds", bits)).drop("_bounds"))
+
+
+def bucket_starts(cut: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Sum of each measure per (keys, bucket), in the buckets before, and in the group."""
+    per_bucket = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_{m}_in") for m in measures])
+    whole = Window.partitionBy(*keys)
+    return per_bucket.select(
+        *keys, "_bucket", *[f"_{m}_in" for m in measures],
+        *[sum_before(f"_{m}_in", keys, ["_bucket"]).alias(f"_{m}_start") for m in measures],
+        *[F.sum(f"_{m}_in").over(whole).alias(f"{m}_total") for m in measures])
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
                    bits: int = BUCKET_BITS) -> DataFrame:
     """Add <m>_before and <m>_total for each measure, in order of a numeric value.
 
     df has one row per (keys, value), i.e. it is pre-aggregated, so one value that
-    repeats in a third of the raw rows is a single row here. Bucket bounds are
-    approximate quantiles of all values, hence no (group, bucket) holds much more than
-    1 / 2**bits of the rows, whatever the group sizes are. Results stay exact, because
-    the bounds only decide which task handles a row.
+    repeats in a third of the raw rows is a single row here.
     """
     keys = list(keys)
-    parts = 1 << bits
-    fractions = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), fractions, parts * 8).alias("_bounds"))
-    cut = (df.withColumn("_bounds", bounds.scalar())
-           .withColumn("_bucket", value_bucket(value, "_bounds", bits)).drop("_bounds"))
-    per_bucket = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    whole = Window.partitionBy(*keys)
-    starts = per_bucket.select(
-        *keys, "_bucket",
-        *[sum_before(m, keys, ["_bucket"]).alias(f"_{m}_start") for m in measures],
-        *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
-    joined = cut.join(starts, keys + ["_bucket"])
-    for m in measures:
-        inside = sum_before(m, keys + ["_bucket"], [value])
-        joined = joined.withColumn(f"{m}_before", F.col(f"_{m}_start") + inside)
-    return joined.select(*df.columns, *[f"{m}_before" for m in measures], *[f"{m}_total" for m in measures])
+    cut = cut_by_value(df, value, bits)
+    joined = cut.join(bucket_starts(cut, keys, measures), keys + ["_bucket"])
+    befores = {f"{m}_before": F.col(f"_{m}_start") + sum_before(m, keys + ["_bucket"], [value]) for m in measures}
+    return joined.withColumns(befores).select(
+        *df.columns, *[f"{m}_before" for m in measures], *[f"{m}_total" for m in measures])
 
 
 def unpivot_metrics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -97,27 +110,36 @@ def unpivot_metrics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = ()) -> DataFrame:
+                    by: Sequence[str] = (), bits: int = BUCKET_BITS) -> DataFrame:
     """Linearly interpolated quantiles: one row per (by, metric), columns q0, q1, ...
 
-    Counts per distinct value, running counts over them, then only the values next to
-    the wanted ranks are kept.
+    Counts per distinct value, then counts per bucket; only the buckets that hold a
+    wanted rank are looked into.
     """
     by = list(by)
     keys = by + ["metric"]
     counts = unpivot_metrics(df, cols, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, keys, "value", ["n"])
+    cut = cut_by_value(counts, "value", bits)
+    starts = bucket_starts(cut, keys, ["n"])
+    spots = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
+
+    def holds(rank: Column, start: Column, size: Column) -> Column:
+        return (start <= rank) & (rank < start + size)
+
+    ranks = [r for spot in spots for r in (F.floor(spot), F.ceil(spot))]
+    wanted = reduce(or_, [holds(r, F.col("_n_start"), F.col("_n_in")) for r in ranks])
+    near = cut.join(starts.where(wanted), keys + ["_bucket"])
+    near = near.withColumn("n_before", F.col("_n_start") + sum_before("n", keys + ["_bucket"], ["value"]))
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col("value")))
+        return F.max(F.when(holds(rank, F.col("n_before"), F.col("n")), F.col("value")))
 
     picks, outs = [], []
-    for i, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("n_total") - 1)
+    for i, spot in enumerate(spots):
         picks += [value_at(F.floor(spot)).alias(f"_lo{i}"), value_at(F.ceil(spot)).alias(f"_hi{i}"),
                   F.max(spot - F.floor(spot)).alias(f"_f{i}")]
         outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q{i}"))
-    return ranked.groupBy(*keys).agg(*picks).select(*keys, *outs)
+    return near.groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 
 def take_by_hash(df: DataFrame, keys: Sequence[str], quotas: DataFrame, id_col: str, seed: int = 0,
@@ -139,7 +161,3 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], quotas: DataFrame, id_col:
     whole = joined.where(~F.coalesce(cut, F.lit(False))).withColumn(flag, F.col("_take") > 0)
     edge = joined.where(cut).withColumn(flag, rank <= F.col("_take"))
     return whole.unionByName(edge).select(*df.columns, flag)
-
-
-__all__ = ["HASH_MODULUS", "exact_quantiles", "row_index", "running_totals", "sum_before", "take_by_hash",
-           "unpivot_metrics", "value_bucket"]

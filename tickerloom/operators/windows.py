@@ -182,6 +182,6 @@ def rolling_volatility(df: DataFrame, by: Sequence[str], order: Sequence[str], n
 
 def add_level(df: DataFrame, c: str) -> DataFrame:
     marks = exact_quantiles(df, [c], [0.25, 0.75])
-    low, high = marks.select("q0").scalar(), marks.select("q1").scalar()
-    return df.withColumns({"_low": low, "_high": high}).withColumn(
-        "volatility_level", volatility_level(c, F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    both = marks.select(F.struct("q0", "q1")).scalar()
+    return df.withColumn("_marks", both).withColumn(
+        "volatility_level", volatility_level(c, F.col("_marks.q0"), F.col("_marks.q1"))).drop("_marks")
