@@ -8,7 +8,7 @@ from importlib import import_module
 from tickerloom.catalog import registry
 from tickerloom.session import ship_package
 
-MODULES = ["bars", "news", "evaluation"]
+MODULES = ["bars", "news", "evaluation", "series", "learning"]
 
 
 def prepared(fn):
