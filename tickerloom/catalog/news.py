@@ -11,6 +11,7 @@ from tickerloom.functions.sentiment import label_code, score_text, sentiment_sco
 from tickerloom.operators import columns, joins, profile, rollup, windows
 from tickerloom.plans import views
 from tickerloom.plans.views import sql
+from tickerloom.session import spread
 
 STOPS_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in text.ENGLISH_STOP_WORDS)
 WORDS_SQL = "unnest(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'))"
@@ -159,13 +160,13 @@ def first_per_date(spark, sf):
 
 @query("clean_html", f"SELECT page_id, {CLEAN_SQL.format(c='html')} AS cleaned FROM pages")
 def clean_html(spark, sf):
-    return views.table(spark, sf, "pages").select("page_id", text.clean_text("html").alias("cleaned"))
+    return spread(views.table(spark, sf, "pages").select("page_id", "html")).select("page_id", text.clean_text("html").alias("cleaned"))
 
 
 @query("clean_text_lower", "SELECT doc_id, " + CLEAN_SQL.format(c="text").replace(
     "'[^\\x00-\\x7F]+', ' ', 'g'), ", "'[^\\x00-\\x7F]+', ' ', 'g').lower(), ") + " AS cleaned FROM documents")
 def clean_text_lower(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", text.clean_text("text", lower=True).alias("cleaned"))
+    return views.documents(spark, sf).select("doc_id", text.clean_text("text", lower=True).alias("cleaned"))
 
 
 @query("strip_trailing_date", sql("raw_text", f"""SELECT doc_id, regexp_replace(regexp_replace(content,
@@ -178,33 +179,33 @@ def strip_trailing_date(spark, sf):
        "'([.!?])[ \\t\\n\\r\\x0B\\f\\x1C-\\x1F]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)) AS parts FROM documents) "
        "SELECT doc_id, array_to_string(list_filter(parts, lambda s, i: list_position(parts, s) = i), ' ') AS content FROM l"))
 def dedupe_sentences(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", text.dedupe_sentences("text").alias("content"))
+    return views.documents(spark, sf).select("doc_id", text.dedupe_sentences("text").alias("content"))
 
 
 @query("normalise_text", ("WITH w AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), "
        "'[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), ' ') AS words FROM documents) "
        f"SELECT doc_id, array_to_string(list_filter(words, lambda w: w <> '' AND w NOT IN ({STOPS_SQL})), ' ') AS content FROM w"))
 def normalise_text(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", text.normalise_text("text").alias("content"))
+    return views.documents(spark, sf).select("doc_id", text.normalise_text("text").alias("content"))
 
 
 @query("word_counts", f"""WITH w AS (SELECT {WORDS_SQL.format(c='text')} AS word FROM documents)
   SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]+') GROUP BY word""")
 def word_counts(spark, sf):
-    return profile.word_counts(views.table(spark, sf, "documents"), "text")
+    return profile.word_counts(views.documents(spark, sf), "text")
 
 
 @query("word_frequency", f"""WITH w AS (SELECT {WORDS_SQL.format(c='text')} AS word FROM documents)
   SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]+') GROUP BY word ORDER BY n DESC, word LIMIT 10""")
 def word_frequency(spark, sf):
-    return profile.word_frequency(views.table(spark, sf, "documents"), "text", 10)
+    return profile.word_frequency(views.documents(spark, sf), "text", 10)
 
 
 @query("word_frequency_no_stop", f"""WITH w AS (SELECT {WORDS_SQL.format(c='text')} AS word FROM documents)
   SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ({STOPS_SQL})
   GROUP BY word ORDER BY n DESC, word LIMIT 10""")
 def word_frequency_no_stop(spark, sf):
-    return profile.word_frequency(views.table(spark, sf, "documents"), "text", 10, drop_stop_words=True)
+    return profile.word_frequency(views.documents(spark, sf), "text", 10, drop_stop_words=True)
 
 
 @query("high_volatility_words", sql("bars news", *LEVEL_STEPS, ("h", "SELECT ticker, dt FROM l WHERE volatility_level = 'High'"),
@@ -219,7 +220,7 @@ def high_volatility_words(spark, sf):
 @query("token_length_stats", """SELECT CAST(min(n) AS INT) AS min_tokens, CAST(max(n) AS INT) AS max_tokens,
   round(avg(n), 6) AS mean_tokens FROM (SELECT len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents)""")
 def token_length_stats(spark, sf):
-    return rounded(profile.token_length_stats(views.table(spark, sf, "documents"), "text"), "mean_tokens")
+    return rounded(profile.token_length_stats(views.documents(spark, sf), "text"), "mean_tokens")
 
 
 @query("label_codes", sql("phrases", """SELECT id, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1

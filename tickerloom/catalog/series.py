@@ -246,7 +246,7 @@ def list_sql(words):
   s AS (SELECT doc_id, (p / (p + n + 1) - n / (p + n + 1)) * (1 - 1 / (p + n + 1)) AS x FROM c)
   SELECT doc_id, CASE WHEN abs(x) < 0.005 THEN 0.0 ELSE round(x, 2) END AS sentiment_score FROM s""")
 def word_list_scores(spark, sf):
-    df = vectors.word_list_scores(views.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    df = vectors.word_list_scores(views.documents(spark, sf), "text")
     return df.select("doc_id", "sentiment_score")
 
 

@@ -189,7 +189,7 @@ def garch_models(df: DataFrame, c: str, date_col: str, by: Sequence[str] = (), o
         rows = rows.sort_values("dt")
         p, q = int(key[-2]), int(key[-1])
         model = fit(rows["r"].to_numpy(), p, q, mean)
-        record = dict(zip(keys, key)) | {"p": p, "q": q, "last_dt": rows["dt"].iloc[-1], "n": len(rows)}
+        record = dict.fromkeys(names) | dict(zip(keys, key)) | {"p": p, "q": q, "last_dt": rows["dt"].iloc[-1], "n": len(rows)}
         if model:
             record |= {k: v for k, v in model.items() if k in names} | {"forecast": forecast(model, days)}
         return pd.DataFrame([record], columns=names)

@@ -96,8 +96,10 @@ def fold_report(df: DataFrame, overall: str = "pooled", auc: str = "label", fold
         *[c.alias(n) for n, c in confusion_counts().items()], *[c.alias(n) for n, c in trade_metric_columns().items()])
     report = class_metrics(sums).select(fold, *CLASS_COLUMNS, *TRADE_COLUMNS)
     if auc == "score":
-        parts = roc_auc(rows, [fold]).unionByName(roc_auc(rows.withColumn(fold, F.lit(None).cast("int")), [fold]))
-        report = report.drop("roc_auc").join(parts.withColumnRenamed(fold, "_f"), F.col(fold).eqNullSafe(F.col("_f")), "left")
+        # Each row counts for its fold and for the total; counts per score combine map-side.
+        both = rows.withColumn(fold, F.explode(F.array(F.col(fold), F.lit(None))))
+        areas = roc_auc(both, [fold]).withColumnRenamed(fold, "_f")
+        report = report.drop("roc_auc").join(areas, F.col(fold).eqNullSafe(F.col("_f")), "left")
         report = report.select(fold, *CLASS_COLUMNS, *TRADE_COLUMNS)
     if overall == "pooled":
         return report

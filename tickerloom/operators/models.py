@@ -1,12 +1,12 @@
 """Classifiers on feature tables: per-fold training, tuning, probabilities per test row.
 
 Input needs `fold` (see folds.py), a 0/1 label and numeric features, or one vector column.
-Models are fitted one after the other per fold; each fit is a distributed Spark ML job.
+Each fit is a distributed Spark ML job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -25,6 +25,7 @@ PENALTY_C = 1.0
 GRID = [(kind, c) for kind, c in product(("l1", "l2"), (0.001, 0.01, 0.1, 1.0))]
 HIDDEN, DEEP_HIDDEN = [100], [128, 64]
 SEED = 42
+PARALLEL_FITS = 8
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -50,6 +51,12 @@ def network(inputs: int, hidden: Sequence[int] = tuple(HIDDEN), rounds: int = 20
     return MultilayerPerceptronClassifier(labelCol=label, layers=[inputs, *hidden, 2], maxIter=rounds, seed=SEED)
 
 
+def side_by_side(task: Callable, items: Iterable) -> list:
+    """Independent fits as concurrent Spark jobs; their short stages fill idle cores."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(task, list(items))
+
+
 def scored(model, test: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:
     """Prediction table: kept columns, y_true, y_prob, y_pred."""
     out = model.transform(test)
@@ -61,31 +68,35 @@ def folds_scored(df: DataFrame, features: Sequence[str], label: str, k: int, kee
                  estimator: Callable[[int], object] | None = None, resample: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Train on all rows before each fold, score the rows of the fold.
 
-    The feature table is checkpointed once, since every fold reads it. Scaling is fitted on
-    the (resampled) training rows.
+    The feature table is checkpointed once, since every fold reads it, and so are the
+    scored rows, since reports read them several times. Scaling is fitted on the
+    (resampled) training rows.
     """
     table = durable(df)
-    parts = []
-    for f in range(1, k + 1):
+    make = estimator or (lambda n: logistic(n, label=label))
+
+    def one(f: int) -> DataFrame:
         train, test = folds.train_rows(table, f), folds.test_rows(table, f)
         if resample is not None:
-            train = resample(train)
-        train_scaled = assembled(scaling.scale(train, features), features).select("features", label).cache()
-        model = (estimator or (lambda n: logistic(n, label=label)))(train_scaled.count()).fit(train_scaled)
-        train_scaled.unpersist()
-        parts.append(scored(model, assembled(scaling.scale(test, features, train), features), label, keep))
-    return union_tables(parts)
+            train = durable(resample(train))
+        ready = assembled(scaling.scale(train, features), features).select("features", label).cache()
+        model = make(ready.count()).fit(ready)
+        ready.unpersist()
+        return scored(model, assembled(scaling.scale(test, features, train), features), label, keep)
+
+    return durable(union_tables(side_by_side(one, range(1, k + 1))))
 
 
 def vector_folds_scored(df: DataFrame, vector: str, label: str, k: int, keep: Sequence[str]) -> DataFrame:
     """The same for ready vectors (market vectors), without scaling."""
     table = durable(assembled_vector(df, vector).select(*{*keep, "features", label, "fold"}))
-    parts = []
-    for f in range(1, k + 1):
+
+    def one(f: int) -> DataFrame:
         train = folds.train_rows(table, f)
         model = logistic(train.count(), label=label).fit(train)
-        parts.append(scored(model, folds.test_rows(table, f), label, keep))
-    return union_tables(parts)
+        return scored(model, folds.test_rows(table, f), label, keep)
+
+    return durable(union_tables(side_by_side(one, range(1, k + 1))))
 
 
 def split_scored(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str],
@@ -96,7 +107,7 @@ def split_scored(df: DataFrame, features: Sequence[str], label: str, keep: Seque
     ready = assembled(scaling.scale(train, features), features).select("features", label).cache()
     model = estimator(ready.count()).fit(ready)
     ready.unpersist()
-    return scored(model, assembled(scaling.scale(test, features, train), features), label, keep)
+    return durable(scored(model, assembled(scaling.scale(test, features, train), features), label, keep))
 
 
 def f1_of(model, rows: DataFrame, label: str) -> float:
@@ -116,16 +127,18 @@ def grid_search(train: DataFrame, label: str, date_order: str, extra: DataFrame
         "fold", folds.fold_of(F.col(date_order), F.col("_size"), k)).select("features", label, "fold"))
     more = None if extra is None else durable(extra.select("features", label))
 
+    def fit_rows(f: int) -> DataFrame:
+        real = folds.train_rows(inner, f).select("features", label)
+        return real if more is None else real.unionByName(more)
+
+    sizes = {f: fit_rows(f).count() for f in range(1, k + 1)}
+
     def attempt(task: tuple[int, tuple[str, float]]) -> tuple:
         f, (penalty, c) = task
-        fit_rows = folds.train_rows(inner, f).select("features", label)
-        if more is not None:
-            fit_rows = fit_rows.unionByName(more)
-        model = logistic(fit_rows.count(), c, penalty, label).fit(fit_rows)
+        model = logistic(sizes[f], c, penalty, label).fit(fit_rows(f))
         return penalty, c, f, f1_of(model, folds.test_rows(inner, f), label)
 
-    with ThreadPool(8) as pool:
-        tried = pool.map(attempt, list(product(range(1, k + 1), grid)))
+    tried = side_by_side(attempt, product(range(1, k + 1), grid))
     scores = train.sparkSession.createDataFrame(tried, "penalty string, c double, fold int, f1 double")
     mean = {g: sum(t[3] for t in tried if t[:2] == g) / k for g in grid}
     penalty, c = max(grid, key=lambda g: mean[g])
@@ -141,11 +154,11 @@ def tuned_folds_scored(df: DataFrame, features: Sequence[str], label: str, keep:
     for f in range(1, k + 1):
         train, test = folds.train_rows(table, f), folds.test_rows(table, f)
         real = durable(scaling.scale(train, features).select(*features, label, id_col))
-        extra = neighbours.smote(real, features, label, id_col).select(*features, label)
+        extra = durable(neighbours.smote(real, features, label, id_col).select(*features, label))
         model, grid = grid_search(assembled(real, features), label, id_col, assembled(extra, features))
         parts.append(scored(model, assembled(scaling.scale(test, features, train), features), label, keep))
         grids.append(grid.withColumn("outer_fold", F.lit(f)))
-    return union_tables(parts), union_tables(grids)
+    return durable(union_tables(parts)), union_tables(grids)
 
 
 def undersampled(label: str, id_col: str) -> Callable[[DataFrame], DataFrame]:

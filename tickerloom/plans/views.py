@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tickerloom.functions.numbers import hash_order, ratio
 from tickerloom.operators.ordering import row_index
 from tickerloom.operators.windows import gap_return, pct_change, rolling_std
+from tickerloom.session import spread
 
 # First date of the derived news calendar and its spacing in days.
 NEWS_START = "1995-01-01"
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts, spread over the cores for text work."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def roll_up_trades(trades: DataFrame, keys: Sequence, price: str, seq: str) -> DataFrame:
     """Open, close, high and volume per key; all aggregates combine before the shuffle."""
     return trades.groupBy(*keys).agg(

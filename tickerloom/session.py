@@ -52,6 +52,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy text work when the input has fewer splits than cores.
+
+    A large input has more splits than that and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (once per application)."""
     app = spark.sparkContext.applicationId
