@@ -51,6 +51,10 @@ def test_report_against_plain_python(spark):
         dev = math.sqrt(sum((x - mean) ** 2 for x in s) / len(s))
         assert got["sharpe"] == pytest.approx(mean / dev * math.sqrt(252))
         assert got["profit_factor"] == pytest.approx(sum(x for x in s if x > 0) / -sum(x for x in s if x < 0))
+    pooled = {r["fold"]: r["roc_auc"] for r in metrics.fold_report(frame(spark, rows), auc="score").collect()}
+    part = [r for r in rows if r[0] is not None]
+    pairs = [(p[3], n[3]) for p in part for n in part if p[1] == 1 and n[1] == 0]
+    assert pooled[None] == pytest.approx(sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs))
     mean_row = {r["fold"]: r for r in metrics.fold_report(frame(spark, rows), overall="fold_mean").collect()}[None]
     assert mean_row["f1"] == pytest.approx((report[1]["f1"] + report[2]["f1"]) / 2)
     assert mean_row["win_rate"] == pytest.approx(report[None]["win_rate"])

@@ -44,16 +44,16 @@ def test_quantiles_skip_nan_and_null(spark):
     assert ordering.exact_quantiles(df, ["x"], [0.5]).first()["q0"] == 2.0
 
 
-@pytest.mark.parametrize("bits", [1, 6])
-def test_running_totals(spark, skewed, bits):
-    counts = skewed.groupby(["key", "value"]).size().rename("n").reset_index()
-    got = ordering.running_totals(spark.createDataFrame(counts), ["key"], "value", ["n"], bits=bits).toPandas()
-    want = counts.sort_values("value")
-    want["before"] = want.groupby("key")["n"].cumsum() - want["n"]
-    want["total"] = want.groupby("key")["n"].transform("sum")
-    both = got.merge(want, on=["key", "value"])
-    assert len(both) == len(counts)
-    assert (both["n_before"] == both["before"]).all() and (both["n_total"] == both["total"]).all()
+@pytest.mark.parametrize("by", [[], ["key"]])
+def test_area_under_curve_with_ties(spark, skewed, by):
+    from tickerloom.operators.metrics import roc_auc
+    pdf = skewed.assign(y=(skewed["id"] % 3 == 0).astype(int))
+    got = roc_auc(spark.createDataFrame(pdf), by, "y", "value").toPandas()
+    for row in got.to_dict("records"):
+        part = pdf[pdf["key"] == row["key"]] if by else pdf
+        pos, neg = part.loc[part.y == 1, "value"].to_numpy(), part.loc[part.y == 0, "value"].to_numpy()
+        wins = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()
+        assert row["roc_auc"] == pytest.approx(wins / len(pos) / len(neg))
 
 
 def test_take_by_hash_takes_the_quota(spark, skewed):

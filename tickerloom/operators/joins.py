@@ -1,7 +1,8 @@
 """Joins of bars with articles: same date, shifted date, and strictly earlier date.
 
-No join carries a broadcast hint. Adaptive execution broadcasts a side when its measured
-size is small (a table of dates is), and otherwise sorts, merges and splits skewed dates.
+Tables with one row per date are small, and articles are not: small_side counts the rows of
+the dated side, broadcasts it when it is small, so that articles are not shuffled, and
+otherwise leaves a sort-merge join whose skewed dates adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tickerloom.functions.vectors import zero_vector
 from tickerloom.operators.rollup import daily_sentiment, mean_vector, ordered_texts
 from tickerloom.operators.windows import prev_distinct_date
+from tickerloom.session import small_side
 
 # Fixed value: text used before the first article.
 NO_NEWS = "No previous news available"
@@ -20,12 +22,12 @@ NO_NEWS = "No previous news available"
 
 def join_on_date(bars: DataFrame, news: DataFrame, on: Sequence[str] = ("dt",)) -> DataFrame:
     """Inner join; a bar appears once per article of its date."""
-    return bars.join(news, list(on), "inner")
+    return news.join(small_side(bars), list(on), "inner")
 
 
 def attach_aggregate(rows: DataFrame, aggregate: DataFrame, on: Sequence[str] = ("dt",)) -> DataFrame:
     """Bring a per-date aggregate back to the rows; rows without a match keep NULL."""
-    return rows.join(aggregate, list(on), "left")
+    return rows.join(small_side(aggregate), list(on), "left")
 
 
 def join_pre_aggregated(bars: DataFrame, news: DataFrame, on: Sequence[str] = ("dt",)) -> DataFrame:
@@ -35,12 +37,12 @@ def join_pre_aggregated(bars: DataFrame, news: DataFrame, on: Sequence[str] = ("
 
 def attach_return(rows: DataFrame, bars: DataFrame, on: Sequence[str] = ("dt",),
                   cols: Sequence[str] = ("daily_return",)) -> DataFrame:
-    return rows.join(bars.select(*on, *cols), list(on), "inner")
+    return rows.join(small_side(bars.select(*on, *cols)), list(on), "inner")
 
 
 def offset_join(news: DataFrame, bars: DataFrame, days: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """News of a day joined to the bar `days` calendar days later; other news drops out."""
-    return news.withColumn("dt", F.date_add("dt", days)).join(bars, list(by) + ["dt"], "inner")
+    return news.withColumn("dt", F.date_add("dt", days)).join(small_side(bars), list(by) + ["dt"], "inner")
 
 
 def asof_prev_rows(dates: DataFrame, news: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +53,7 @@ def asof_prev_rows(dates: DataFrame, news: DataFrame, by: Sequence[str] = ()) ->
     """
     by = list(by)
     pairs = prev_distinct_date(dates, by, "dt").where(F.col("prev_dt").isNotNull())
-    return pairs.join(news.withColumnRenamed("dt", "prev_dt"), by + ["prev_dt"], "inner")
+    return news.withColumnRenamed("dt", "prev_dt").join(small_side(pairs), by + ["prev_dt"], "inner")
 
 
 def asof_prev_text(news: DataFrame, text: str, seq: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.functions.numbers import ratio
-from tickerloom.operators.ordering import running_totals
+from tickerloom.operators.ordering import cut_by_value, sum_before
 
 # Trading days in a year, threshold below which losses or deviation count as zero.
 TRADING_DAYS = 252
@@ -51,15 +51,19 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, by: Sequence[str] = (), y_true: str = "y_true", score: str = "y_prob") -> DataFrame:
     """Tie-aware area under the ROC curve; NULL when one class is missing.
 
-    Rows are counted per distinct score first; running counts over the scores give the
-    number of negatives below each score.
+    Rows are counted per distinct score, scores are ranked inside buckets of neighbouring
+    scores, and buckets are ranked among themselves, so one large fold uses many tasks.
     """
     by = list(by)
-    per_score = df.groupBy(*by, score).agg(
+    cut = cut_by_value(df.select(*by, y_true, score), score)
+    per_score = cut.groupBy(*by, "_bucket", score).agg(
         F.count(F.when(F.col(y_true) == 1, 1)).alias("pos"), F.count(F.when(F.col(y_true) == 0, 1)).alias("neg"))
-    ranked = running_totals(per_score, by, score, ["neg"])
-    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-    return ranked.groupBy(*by).agg(ratio(wins, F.sum("pos") * F.max("neg_total").cast("double")).alias("roc_auc"))
+    inside = F.col("pos") * (sum_before("neg", by + ["_bucket"], [score]) + F.col("neg") / 2.0)
+    buckets = per_score.withColumn("_wins", inside).groupBy(*by, "_bucket").agg(
+        F.sum("_wins").alias("_wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ranked = buckets.withColumn("_wins", F.col("_wins") + F.col("pos") * sum_before("neg", by, ["_bucket"]))
+    area = ratio(F.sum("_wins"), F.sum("pos") * F.sum("neg").cast("double"))
+    return ranked.groupBy(*by).agg(area.alias("roc_auc"))
 
 
 def strategy_returns(df: DataFrame, position: str = "y_pred", ret: str = "ret") -> DataFrame:

@@ -15,6 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.numbers import hash_order
+from tickerloom.session import small_side
 
 BUCKET_ROWS = 1_000_000
 BUCKET_BITS = 11
@@ -64,11 +65,12 @@ def value_bucket(value: str, bounds: str, bits: int = BUCKET_BITS) -> Column:
 
 
 def cut_by_value(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:
-    """Add _bucket, an ordered bucket number, to rows with distinct values per group.
+    """Add _bucket, an ordered bucket number, to each row.
 
-    Bounds are approximate quantiles of all values, hence no (group, bucket) holds much
-    more than 1 / 2**bits of the rows, whatever the group sizes are. They only decide
-    which task handles a row, so results built on the buckets are exact.
+    Bounds are approximate quantiles of all values (a scan without a shuffle). Hence no
+    (group, bucket) holds much more than 1 / 2**bits of the rows, whatever the group sizes
+    are, apart from repetitions of one value, which aggregate to one row. Bounds only
+    decide which task handles a row, so results built on the buckets are exact.
     """
     parts = 1 << bits
     # One text literal keeps the plan short; it folds to an array before execution.
@@ -78,31 +80,6 @@ def cut_by_value(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFram
             .withColumn("_bucket", value_bucket(value, "_bounds", bits)).drop("_bounds"))
 
 
-def bucket_starts(cut: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Sum of each measure per (keys, bucket), in the buckets before, and in the group."""
-    per_bucket = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_{m}_in") for m in measures])
-    whole = Window.partitionBy(*keys)
-    return per_bucket.select(
-        *keys, "_bucket", *[f"_{m}_in" for m in measures],
-        *[sum_before(f"_{m}_in", keys, ["_bucket"]).alias(f"_{m}_start") for m in measures],
-        *[F.sum(f"_{m}_in").over(whole).alias(f"{m}_total") for m in measures])
-
-
-def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-                   bits: int = BUCKET_BITS) -> DataFrame:
-    """Add <m>_before and <m>_total for each measure, in order of a numeric value.
-
-    df has one row per (keys, value), i.e. it is pre-aggregated, so one value that
-    repeats in a third of the raw rows is a single row here.
-    """
-    keys = list(keys)
-    cut = cut_by_value(df, value, bits)
-    joined = cut.join(bucket_starts(cut, keys, measures), keys + ["_bucket"])
-    befores = {f"{m}_before": F.col(f"_{m}_start") + sum_before(m, keys + ["_bucket"], [value]) for m in measures}
-    return joined.withColumns(befores).select(
-        *df.columns, *[f"{m}_before" for m in measures], *[f"{m}_total" for m in measures])
-
-
 def unpivot_metrics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, metric, value) rows without NULL and NaN."""
     doubles = df.select(*by, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
@@ -113,23 +90,26 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = (), bits: int = BUCKET_BITS) -> DataFrame:
     """Linearly interpolated quantiles: one row per (by, metric), columns q0, q1, ...
 
-    Counts per distinct value, then counts per bucket; only the buckets that hold a
-    wanted rank are looked into.
+    A selection in three scans: bucket bounds, rows per bucket, and the rows of the few
+    buckets that hold a wanted rank. Only bucket counts and those rows are shuffled, never
+    the whole column.
     """
     by = list(by)
     keys = by + ["metric"]
-    counts = unpivot_metrics(df, cols, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    cut = cut_by_value(counts, "value", bits)
-    starts = bucket_starts(cut, keys, ["n"])
+    cut = cut_by_value(unpivot_metrics(df, cols, by), "value", bits)
+    cells = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
+    starts = cells.withColumns({"_start": sum_before("_in", keys, ["_bucket"]),
+                                "n_total": F.sum("_in").over(Window.partitionBy(*keys))})
     spots = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
 
     def holds(rank: Column, start: Column, size: Column) -> Column:
         return (start <= rank) & (rank < start + size)
 
     ranks = [r for spot in spots for r in (F.floor(spot), F.ceil(spot))]
-    wanted = reduce(or_, [holds(r, F.col("_n_start"), F.col("_n_in")) for r in ranks])
-    near = cut.join(starts.where(wanted), keys + ["_bucket"])
-    near = near.withColumn("n_before", F.col("_n_start") + sum_before("n", keys + ["_bucket"], ["value"]))
+    wanted = starts.where(reduce(or_, [holds(r, F.col("_start"), F.col("_in")) for r in ranks])).drop("_in")
+    near = cut.join(small_side(wanted), keys + ["_bucket"]).groupBy(*keys, "_bucket", "_start", "n_total", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    near = near.withColumn("n_before", F.col("_start") + sum_before("n", keys + ["_bucket"], ["value"]))
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when(holds(rank, F.col("n_before"), F.col("n")), F.col("value")))
@@ -146,18 +126,21 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], quotas: DataFrame, id_col:
                  flag: str = "picked") -> DataFrame:
     """Mark, per group, exactly `quota` rows with the smallest id hashes.
 
-    The hash range is cut into 2048 equal parts. Parts below the quota are taken whole,
-    parts above it are left, and rows are ranked only in the one part that the quota cuts.
+    The hash range is cut into 2048 equal parts. Counts per part tell which part the quota
+    cuts: earlier parts are taken whole, later ones left, and rows are ranked only inside
+    that part. Rows meet one cut per group, and no row is shuffled but those of cut parts.
     """
     keys = list(keys)
     rows = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_part", F.shiftright("_h", 20))
     parts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     left = F.col("quota") - sum_before("_n", keys, ["_part"])
-    takes = parts.join(quotas.select(*keys, "quota"), keys).select(
-        *keys, "_part", "_n", F.greatest(F.lit(0), F.least(F.col("_n"), left)).alias("_take"))
-    joined = rows.join(takes, keys + ["_part"], "left").withColumn("_take", F.coalesce("_take", F.lit(0)))
-    cut = (F.col("_take") > 0) & (F.col("_take") < F.col("_n"))
+    over = parts.join(quotas.select(*keys, "quota"), keys).withColumn("_left", left).where(F.col("_n") > F.col("_left"))
+    first = over.groupBy(*keys).agg(F.min("_part").alias("_cut"), F.min_by("_left", "_part").alias("_rest"))
+    cuts = quotas.select(*keys).join(first, keys, "left").select(
+        *keys, F.coalesce("_cut", F.lit(1 << 11)).alias("_cut"), F.coalesce("_rest", F.lit(0)).alias("_rest"))
+    joined = rows.join(small_side(cuts), keys, "left")
+    on_cut = F.coalesce(F.col("_part") == F.col("_cut"), F.lit(False))
     rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h", id_col))
-    whole = joined.where(~F.coalesce(cut, F.lit(False))).withColumn(flag, F.col("_take") > 0)
-    edge = joined.where(cut).withColumn(flag, rank <= F.col("_take"))
+    whole = joined.where(~on_cut).withColumn(flag, F.coalesce(F.col("_part") < F.col("_cut"), F.lit(False)))
+    edge = joined.where(on_cut).withColumn(flag, rank <= F.col("_rest"))
     return whole.unionByName(edge).select(*df.columns, flag)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tickerloom.functions.numbers import col, ratio, up_flag
 from tickerloom.operators.ordering import exact_quantiles
+from tickerloom.session import durable
 
 # Window sizes, lags and names of the standard feature tables.
 RETURN_WINDOW = 5
@@ -173,11 +174,12 @@ def rolling_volatility(df: DataFrame, by: Sequence[str], order: Sequence[str], n
     """Rolling standard deviation of returns and its High / Medium / Low level.
 
     Levels compare each row with the 25 % and 75 % quantiles of the whole table, which
-    enter the plan as scalar subqueries.
+    enter the plan as a scalar subquery. The table of volatilities is checkpointed, since
+    the quantiles scan it several times.
     """
     out = df.withColumn("returns", pct_change("close", by, order))
     out = out.withColumn("volatility", rolling_std("returns", n, by, order)).where(F.col("volatility").isNotNull())
-    return add_level(out, "volatility")
+    return add_level(durable(out), "volatility")
 
 
 def add_level(df: DataFrame, c: str) -> DataFrame:

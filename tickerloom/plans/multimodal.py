@@ -36,10 +36,10 @@ def market_rows(articles: DataFrame, emb: DataFrame, size: int, fusion: bool = F
 
     Vectors are averaged per date and moved to the next date before they meet the rows.
     """
-    dated = joins.join_on_date(articles.select("dt", "news_id"), emb, ["dt", "news_id"])
+    dated = articles.select("dt", "news_id").join(emb, ["dt", "news_id"])
     earlier = joins.asof_prev_vector(dated, "emb", size)
     numbers = list(windows.SENTIMENT_FEATURES)
-    rows = scaling.scale(joins.join_on_date(articles.drop("title", "cleaned_content"), earlier), numbers)
+    rows = scaling.scale(joins.join_on_date(earlier, articles.drop("title", "cleaned_content")), numbers)
     if not fusion:
         return vectors.market_vector(rows, numbers, "prev_day_embedding")
     packed = rows.withColumn("_numbers", F.array(*numbers))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Adaptive execution chooses broadcast joins from measured sizes and splits
 # skewed join partitions, so operators do not hint joins themselves.
@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# A side of this many narrow rows takes a few MB.
+SMALL_ROWS = 100_000
 _shipped: set[str] = set()
 
 
@@ -52,6 +54,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Prepare one side of a join: broadcast it if it has at most max_rows rows.
+
+    The rows are counted first. A larger side is joined without a hint, i.e. by a sort-merge
+    join whose skewed partitions adaptive execution splits. Without this check Spark would
+    shuffle the large side (whole articles) before it learns that the other one is small.
+    """
+    kept = durable(df)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for heavy text work when the input has fewer splits than cores.
 
