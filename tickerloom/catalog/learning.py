@@ -7,8 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from tickerloom.catalog.bars import BY, ORDER, rounded
-from tickerloom.catalog.evaluation import ROUND
-from tickerloom.catalog.news import scored_news
+from tickerloom.catalog.evaluation import CLASS, CONF, ROUND, TRADE
+from tickerloom.catalog.news import ARTICLE_STEPS, scored_news
 from tickerloom.catalog.registry import query
 from tickerloom.functions import prompts
 from tickerloom.operators import folds, joins, metrics, models, windows
@@ -104,7 +104,8 @@ def articles(spark, sf):
     return multimodal.article_table(views.index_bars(spark, sf), views.news(spark, sf), scored_news(spark, sf))
 
 
-@query("clean_articles")
+@query("clean_articles", sql("index_bars news news_scores", *ARTICLE_STEPS,
+       "SELECT dt, news_id, movement, open, close_lag1, cleaned_content FROM ar"))
 def clean_articles(spark, sf):
     return articles(spark, sf).select("dt", "news_id", "movement", "open", "close_lag1", "cleaned_content")
 
@@ -120,12 +121,24 @@ def falling_client():
     return answer
 
 
-@query("prompt_predictions")
+LOG_STEPS = ARTICLE_STEPS + (
+    ("i", "SELECT *, row_number() OVER (ORDER BY dt, news_id) - 1 AS i, count(*) OVER () AS n FROM ar"),
+    ("g", "SELECT *, CASE WHEN i >= n - 5 * (n // 6) THEN CAST((i - (n - 5 * (n // 6))) // (n // 6) AS INT) + 1 END AS fold FROM i"),
+    ("fd", """SELECT dt, fold, arg_min(daily_return, news_id) AS ret, arg_min(daily_return_lag1, news_id) AS daily_return_lag1,
+  arg_min(movement, news_id) AS y_true FROM g WHERE fold IS NOT NULL GROUP BY dt, fold"""),
+    ("p", "SELECT *, CASE WHEN trunc(daily_return_lag1) < 0 THEN 0 ELSE 1 END AS y_pred FROM fd"))
+
+
+@query("prompt_predictions", sql("index_bars news news_scores", *LOG_STEPS, """SELECT dt, fold, round(ret, 4) AS ret,
+  round(daily_return_lag1, 4) AS daily_return_lag1, y_true, y_pred, CASE WHEN y_pred = 0 THEN 'down' ELSE 'up' END AS status FROM p"""))
 def prompt_predictions(spark, sf):
-    return prompting.predict(prompting.prompt_table(articles(spark, sf)), falling_client)
+    log = prompting.predict(prompting.prompt_table(articles(spark, sf)), falling_client)
+    return rounded(log, "ret", "daily_return_lag1", digits=4)
 
 
-@query("prompt_fold_report")
+@query("prompt_fold_report", sql("index_bars news news_scores", *LOG_STEPS, ("b", """SELECT fold, y_true, y_pred, y_pred * ret AS r FROM p
+  UNION ALL SELECT NULL, y_true, y_pred, y_pred * ret FROM p"""), ("c", f"SELECT fold, {CONF}, {TRADE} FROM b GROUP BY fold"),
+       f"SELECT fold, {CLASS}, win_rate, profit_factor, sharpe FROM c"))
 def prompt_fold_report(spark, sf):
     log = prompting.predict(prompting.prompt_table(articles(spark, sf), shots=1), falling_client, shots=1)
     return rounded(metrics.fold_report(log), *ROUND)
@@ -213,6 +226,14 @@ def multimodal_fused_report(spark, sf):
     return rounded(multimodal.evaluate(market_rows(spark, sf, fusion=True), split="time"), *ROUND)
 
 
+@query("multimodal_garch_report")
+def multimodal_garch_report(spark, sf):
+    """Market vectors with five volatility features more."""
+    rows = multimodal.article_table(views.index_bars(spark, sf), views.news(spark, sf), scored_news(spark, sf), garch_too=True)
+    rows = multimodal.market_rows(rows, views.news_vectors(spark, sf), 64, numbers=multimodal.NUMBERS_WITH_GARCH)
+    return rounded(multimodal.evaluate(rows, split="time"), *ROUND)
+
+
 @query("multimodal_random_report")
 def multimodal_random_report(spark, sf):
     return rounded(multimodal.evaluate(market_rows(spark, sf), split="random"), *ROUND)

@@ -270,20 +270,30 @@ def events_json(spark, sf):
     return e.select("event_id", "p.k", F.to_json("p").alias("encoded"))
 
 
-@query("sentiment_baseline_features", sql("index_bars news_scores", SCORED,
-       ("a", "SELECT dt, sum(sentiment_score) AS s FROM scored GROUP BY dt"),
-       ("m", "SELECT * FROM index_bars JOIN a USING (dt)"),
-       ("r", """SELECT *, open / lag(close) OVER w - 1 AS gap, (close / lag(close) OVER w - 1) * 100 AS ret FROM m
-         WINDOW w AS (ORDER BY dt)"""),
-       ("v", """SELECT *, CASE WHEN count(ret) OVER w = 5 THEN stddev_samp(ret) OVER w END AS vol,
-         CASE WHEN count(s) OVER w = 5 THEN stddev_samp(s) OVER w END AS svol FROM r
-         WINDOW w AS (ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""),
-       """SELECT dt, movement, close_lag1, high_lag1, volume_lag1, daily_return_lag1, volatility_lag1,
-  aggregate_sentiment_score_lag1, sentiment_volatility_lag1 FROM (SELECT dt, row_number() OVER w AS pos,
+SENTIMENT_STEPS = (
+    SCORED, ("a", "SELECT dt, sum(sentiment_score) AS s FROM scored GROUP BY dt"),
+    ("m", "SELECT * FROM index_bars JOIN a USING (dt)"),
+    ("r", """SELECT *, open / lag(close) OVER w - 1 AS gap, (close / lag(close) OVER w - 1) * 100 AS ret FROM m
+  WINDOW w AS (ORDER BY dt)"""),
+    ("v", """SELECT *, CASE WHEN count(ret) OVER w = 5 THEN stddev_samp(ret) OVER w END AS vol,
+  CASE WHEN count(s) OVER w = 5 THEN stddev_samp(s) OVER w END AS svol FROM r
+  WINDOW w AS (ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""),
+    ("sf", """SELECT * FROM (SELECT dt, open, ret AS daily_return, row_number() OVER w AS pos,
   CASE WHEN gap > 0 THEN 1 ELSE 0 END AS movement, lag(close) OVER w AS close_lag1, lag(high) OVER w AS high_lag1,
-  lag(volume) OVER w AS volume_lag1, round(lag(ret) OVER w, 4) AS daily_return_lag1, round(lag(vol) OVER w, 4) AS volatility_lag1,
-  round(lag(s) OVER w, 6) AS aggregate_sentiment_score_lag1, round(lag(svol) OVER w, 6) AS sentiment_volatility_lag1 FROM v
+  lag(volume) OVER w AS volume_lag1, lag(ret) OVER w AS daily_return_lag1, lag(vol) OVER w AS volatility_lag1,
+  lag(s) OVER w AS aggregate_sentiment_score_lag1, lag(svol) OVER w AS sentiment_volatility_lag1 FROM v
   WINDOW w AS (ORDER BY dt)) WHERE pos > 12"""))
+ARTICLE_STEPS = SENTIMENT_STEPS + (
+    ("cl", "SELECT dt, news_id, array_to_string(list_filter(parts, lambda s, i: list_position(parts, s) = i), ' ') AS cleaned_content "
+     "FROM (SELECT dt, news_id, list_transform(string_split(regexp_replace(" + CLEAN_SQL.format(c="content") +
+     ", '([.!?])[ \\t\\n\\r\\x0B\\f\\x1C-\\x1F]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)) AS parts FROM news)"),
+    ("ar", "SELECT * FROM sf JOIN cl USING (dt) WHERE cleaned_content <> ''"))
+
+
+@query("sentiment_baseline_features", sql("index_bars news_scores", *SENTIMENT_STEPS, """SELECT dt, movement, close_lag1, high_lag1,
+  volume_lag1, round(daily_return_lag1, 4) AS daily_return_lag1, round(volatility_lag1, 4) AS volatility_lag1,
+  round(aggregate_sentiment_score_lag1, 6) AS aggregate_sentiment_score_lag1,
+  round(sentiment_volatility_lag1, 6) AS sentiment_volatility_lag1 FROM sf"""))
 def sentiment_baseline_features(spark, sf):
     df = joins.join_pre_aggregated(views.index_bars(spark, sf), scored_news(spark, sf))
     df = windows.baseline_features(df, [], ORDER, sentiment=True)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickerloom.catalog.bars import BY, FEATURE_STEPS, ORDER, W, rounded
-from tickerloom.catalog.news import scored_news
+from tickerloom.catalog.news import STOPS_SQL, scored_news
 from tickerloom.catalog.registry import query
 from tickerloom.functions.vectors import cosine
 from tickerloom.operators import garch, joins, neighbours, profile, rollup, scaling, stats, vectors, windows
@@ -258,7 +258,11 @@ def length_scorer():
     return score
 
 
-@query("score_sentiment")
+@query("score_sentiment", ("WITH w AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), "
+       "'[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), ' ') AS words FROM documents), "
+       f"n AS (SELECT doc_id, length(array_to_string(list_filter(words, lambda w: w <> '' AND w NOT IN ({STOPS_SQL})), ' ')) % 10 / 10 AS pos FROM w), "
+       "s AS (SELECT doc_id, (pos - 0.5::DOUBLE * (1 - pos)) * (1 - 0.5::DOUBLE * (1 - pos)) AS x FROM n) "
+       "SELECT doc_id AS news_id, CASE WHEN abs(x) < 0.005 THEN 0.0 ELSE round(x, 2) END AS sentiment_score FROM s"))
 def score_sentiment(spark, sf):
     df = vectors.score_sentiment(views.news(spark, sf).select("news_id", "content"), "content", length_scorer)
     return df.select("news_id", "sentiment_score")
@@ -300,9 +304,23 @@ def smote_class_sizes(spark, sf):
     return df.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("smote")
+def hash_sql(x, seed=0):
+    return f"(((({x}) + {1 + seed}) % 2147483647) * 48271 * 69621 % 2147483647)"
+
+
+@query("smote", sql("bars", *POINTS, ("nb", """SELECT id, list(neighbour_id ORDER BY d, neighbour_id) AS near FROM (SELECT *,
+  row_number() OVER (PARTITION BY id ORDER BY d, neighbour_id) AS k FROM (SELECT a.id, b.id AS neighbour_id,
+  sqrt((a.gap - b.gap) ** 2 + (a.ret - b.ret) ** 2 + (a.vol - b.vol) ** 2) AS d FROM mi a JOIN mi b ON a.id <> b.id)) WHERE k <= 5 GROUP BY id"""),
+       ("sz", "SELECT max(n) - min(n) AS wanted, min(n) AS small FROM (SELECT count(*) AS n FROM g GROUP BY y)"),
+       ("cp", f"""SELECT id, near, wanted // small + CASE WHEN row_number() OVER (ORDER BY {hash_sql('id')}, id) <= wanted % small
+  THEN 1 ELSE 0 END AS copies FROM nb, sz"""), ("ex", "SELECT id, near, unnest(range(1, copies + 1)) AS copy FROM cp"),
+       ("dr", f"SELECT *, {hash_sql(hash_sql('id') + ' + copy * 7919')} AS draw FROM ex"),
+       ("ch", f"SELECT id, copy, near[CAST(draw % 5 AS INT) + 1] AS nid, {hash_sql('draw', 1)} / 2147483647.0::DOUBLE AS u FROM dr"),
+       """SELECT id AS base_id, nid AS neighbour_id, copy, round(u, 6) AS segment_share, round(a.gap + u * (b.gap - a.gap), 6) AS gap,
+  round(a.ret + u * (b.ret - a.ret), 6) AS ret, round(a.vol + u * (b.vol - a.vol), 6) AS vol, a.y FROM ch
+  JOIN mi a USING (id) JOIN mi b ON b.id = ch.nid"""))
 def smote(spark, sf):
     df = neighbours.smote(labelled_points(spark, sf), ["gap", "ret", "vol"], "y", "id")
-    return rounded(df, "gap", "ret", "vol")
+    return rounded(df, "segment_share", "gap", "ret", "vol")
 
 

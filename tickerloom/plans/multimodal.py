@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.functions.text import clean_text, dedupe_sentences
 from tickerloom.operators import balance, columns, folds, garch, joins, metrics, models, rollup, scaling, vectors, windows
 
 LABEL = "movement"
+# The volatility features that may join the numbers.
+GARCH_FEATURES = ["garch_cond_variance_lag1", "garch_cond_volatility_lag1", "garch_residuals_lag1",
+                  "rolling_cond_volatility_3_lag1", "rolling_cond_volatility_5_lag1"]
+NUMBERS_WITH_GARCH = windows.SENTIMENT_FEATURES + GARCH_FEATURES
 
 
 def clean_articles(news: DataFrame, text: str = "content") -> DataFrame:
@@ -21,24 +27,29 @@ def garch_bars(bars: DataFrame) -> DataFrame:
     return joins.join_on_date(bars, windows.garch_feature_table(fitted, [], ["dt"]))
 
 
-def article_table(bars: DataFrame, news: DataFrame, scores: DataFrame) -> DataFrame:
+def article_table(bars: DataFrame, news: DataFrame, scores: DataFrame, garch_too: bool = False) -> DataFrame:
     """One row per (date, article): lagged features of the date, title and cleaned text."""
     daily = joins.join_pre_aggregated(bars, scores)
     daily = windows.baseline_features(daily, [], ["dt"], sentiment=True)
     keep = ["dt", LABEL, "daily_return", *windows.SENTIMENT_FEATURES]
+    if garch_too:
+        volatility = garch_bars(bars).select("dt", *GARCH_FEATURES)
+        daily = columns.drop_missing(daily.join(volatility, "dt"), GARCH_FEATURES)
+        keep += GARCH_FEATURES
     cleaned = clean_articles(news).select("dt", "news_id", "title", "cleaned_content")
     rows = joins.join_on_date(daily.select(*keep), cleaned)
     return columns.non_empty_text(rows, "cleaned_content")
 
 
-def market_rows(articles: DataFrame, emb: DataFrame, size: int, fusion: bool = False, seed: int = 42) -> DataFrame:
+def market_rows(articles: DataFrame, emb: DataFrame, size: int, fusion: bool = False, seed: int = 42,
+                numbers: Sequence[str] = tuple(windows.SENTIMENT_FEATURES)) -> DataFrame:
     """Article rows with scaled numbers and a market vector (concatenated or fused).
 
     Vectors are averaged per date and moved to the next date before they meet the rows.
     """
     dated = articles.select("dt", "news_id").join(emb, ["dt", "news_id"])
     earlier = joins.asof_prev_vector(dated, "emb", size)
-    numbers = list(windows.SENTIMENT_FEATURES)
+    numbers = list(numbers)
     rows = scaling.scale(joins.join_on_date(earlier, articles.drop("title", "cleaned_content")), numbers)
     if not fusion:
         return vectors.market_vector(rows, numbers, "prev_day_embedding")
