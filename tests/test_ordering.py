@@ -60,7 +60,8 @@ def test_take_by_hash_takes_the_quota(spark, skewed):
     df = spark.createDataFrame(skewed)
     sizes = skewed.groupby("key").size()
     quotas = pd.DataFrame({"key": sizes.index, "quota": [min(n, 100 + 37 * i) for i, n in enumerate(sizes)]})
-    marked = ordering.take_by_hash(df, ["key"], spark.createDataFrame(quotas), "id").toPandas()
+    table = spark.createDataFrame(quotas)
+    marked = ordering.take_by_hash(df, ["key"], lambda sizes: sizes.join(table, "key"), "id").toPandas()
     assert len(marked) == len(skewed)
     hashed = ((skewed["id"] + 1) * 48271 * 69621) % 2147483647
     rank = hashed.groupby(skewed["key"]).rank(method="first")

@@ -101,8 +101,8 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, id_col: str, k: int =
     wanted = sizes[large] - sizes[small]
     minority = df.where(F.col(label) == small)
     near = nearest(minority, cols, id_col, k)
-    quota = df.sparkSession.range(1).select(F.lit(0).alias("_g"), F.lit(wanted % sizes[small]).alias("quota"))
-    shared = take_by_hash(near.withColumn("_g", F.lit(0)), ["_g"], quota, "id", seed)
+    near = near.withColumn("_g", F.lit(0))
+    shared = take_by_hash(near, ["_g"], lambda n: n.withColumn("quota", F.lit(wanted % sizes[small])), "id", seed)
     copies = F.lit(wanted // sizes[small]) + F.col("picked").cast("int")
     rows = shared.where((copies > 0) & (F.size("near") > 0)).withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))))

@@ -8,14 +8,14 @@ A group that holds a third of all rows is therefore spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.numbers import hash_order
-from tickerloom.session import small_side
+from tickerloom.session import durable, small_side
 
 BUCKET_ROWS = 1_000_000
 BUCKET_BITS = 11
@@ -122,17 +122,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return near.groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 
-def take_by_hash(df: DataFrame, keys: Sequence[str], quotas: DataFrame, id_col: str, seed: int = 0,
-                 flag: str = "picked") -> DataFrame:
+def take_by_hash(df: DataFrame, keys: Sequence[str], quota_of: Callable[[DataFrame], DataFrame], id_col: str,
+                 seed: int = 0, flag: str = "picked") -> DataFrame:
     """Mark, per group, exactly `quota` rows with the smallest id hashes.
 
-    The hash range is cut into 2048 equal parts. Counts per part tell which part the quota
+    quota_of gets the group sizes (keys, n) and adds the column `quota`. The hash range is cut into 2048 equal parts. Counts per part tell which part the quota
     cuts: earlier parts are taken whole, later ones left, and rows are ranked only inside
     that part. Rows meet one cut per group, and no row is shuffled but those of cut parts.
     """
     keys = list(keys)
     rows = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_part", F.shiftright("_h", 20))
-    parts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = durable(rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")))
+    quotas = quota_of(parts.groupBy(*keys).agg(F.sum("_n").alias("n")))
     left = F.col("quota") - sum_before("_n", keys, ["_part"])
     over = parts.join(quotas.select(*keys, "quota"), keys).withColumn("_left", left).where(F.col("_n") > F.col("_left"))
     first = over.groupBy(*keys).agg(F.min("_part").alias("_cut"), F.min_by("_left", "_part").alias("_rest"))
