@@ -20,8 +20,8 @@ from tickerloom.operators import balance, folds, metrics, neighbours, scaling
 from tickerloom.operators.rollup import union_tables
 from tickerloom.session import durable
 
-# Strength of the penalty, tuning grid, network sizes, seed.
-PENALTY_C = 1.0
+# Strength of the penalty, tolerance of the l1 solver, tuning grid, network sizes, seed.
+PENALTY_C, LASSO_TOLERANCE = 1.0, 1e-4
 GRID = [(kind, c) for kind, c in product(("l1", "l2"), (0.001, 0.01, 0.1, 1.0))]
 HIDDEN, DEEP_HIDDEN = [100], [128, 64]
 SEED = 42
@@ -38,8 +38,9 @@ def assembled_vector(df: DataFrame, vector: str) -> DataFrame:
 
 def logistic(rows: int, c: float = PENALTY_C, penalty: str = "l2", label: str = "movement") -> LogisticRegression:
     """Penalised logistic regression. C weighs the summed loss, so regParam is 1 / (C n)."""
-    return LogisticRegression(labelCol=label, regParam=1.0 / (c * rows), elasticNetParam=1.0 if penalty == "l1" else 0.0,
-                              standardization=False, maxIter=100)
+    lasso = penalty == "l1"
+    return LogisticRegression(labelCol=label, regParam=1.0 / (c * rows), elasticNetParam=1.0 if lasso else 0.0,
+                              standardization=False, maxIter=100, tol=LASSO_TOLERANCE if lasso else 1e-6)
 
 
 def boosted_trees(label: str = "movement", rounds: int = 100) -> GBTClassifier:
@@ -150,14 +151,16 @@ def tuned_folds_scored(df: DataFrame, features: Sequence[str], label: str, keep:
                        k: int = folds.TUNING_FOLDS) -> tuple[DataFrame, DataFrame]:
     """Per outer fold: scale, oversample the smaller class, tune, score the fold."""
     table = durable(df)
-    parts, grids = [], []
-    for f in range(1, k + 1):
+
+    def one(f: int) -> tuple[DataFrame, DataFrame]:
         train, test = folds.train_rows(table, f), folds.test_rows(table, f)
         real = durable(scaling.scale(train, features).select(*features, label, id_col))
         extra = durable(neighbours.smote(real, features, label, id_col).select(*features, label))
         model, grid = grid_search(assembled(real, features), label, id_col, assembled(extra, features))
-        parts.append(scored(model, assembled(scaling.scale(test, features, train), features), label, keep))
-        grids.append(grid.withColumn("outer_fold", F.lit(f)))
+        out = scored(model, assembled(scaling.scale(test, features, train), features), label, keep)
+        return out, grid.withColumn("outer_fold", F.lit(f))
+
+    parts, grids = zip(*side_by_side(one, range(1, k + 1)))
     return durable(union_tables(parts)), union_tables(grids)
 
 

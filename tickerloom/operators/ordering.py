@@ -44,7 +44,7 @@ def row_index(df: DataFrame, date_col: str, seq_col: str | None = None, by: Sequ
         return df.withColumn(name, (position - 1).cast("bigint"))
     cell_keys = by + [date_col, "_cell"]
     rows = df.withColumn("_cell", F.floor(F.try_divide(F.col(seq_col), F.lit(bucket_rows))).cast("bigint"))
-    cells = rows.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("_n"))
+    cells = durable(rows.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("_n")))
     days = cells.groupBy(*by, date_col).agg(F.sum("_n").alias("_n"))
     day_start = days.select(*by, date_col, sum_before("_n", by, [date_col]).alias("_day_start"))
     cell_start = cells.select(*cell_keys, sum_before("_n", by + [date_col], ["_cell"]).alias("_cell_start"))

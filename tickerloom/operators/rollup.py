@@ -69,11 +69,12 @@ def dedupe_articles(df: DataFrame, subset: Sequence[str], seq: str) -> DataFrame
     """First row per distinct text.
 
     An aggregation, not a ranking window: copies collapse on the map side, so a text
-    copied into a third of all rows reaches the reducer as one row per map task.
+    copied into a third of all rows reaches the reducer as one row per map task. The hash
+    in front of the texts makes sorting cheap: texts are compared only when it is equal.
     """
     rest = [c for c in df.columns if c not in subset]
     packed = F.min(F.struct(F.col(seq).alias("_seq"), *[F.col(c) for c in rest]))
-    return df.groupBy(*subset).agg(packed.alias("_row")).select(
+    return df.groupBy(F.xxhash64(*subset).alias("_hash"), *subset).agg(packed.alias("_row")).select(
         *[F.col(c) if c in subset else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
