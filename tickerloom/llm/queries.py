@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import packing
-from tickerloom.llm.arrow import map_batches
+from tickerloom.llm import chat, language, packing, rules
+from tickerloom.llm.arrow import hashed_part, map_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,61 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return ids_crc32(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def held_out(parts: int, rest: int):
+    return F.coalesce(hashed_part("doc_id", parts) == rest, F.lit(False))
+
+
+def learnable(docs: DataFrame, parts: int, rest: int) -> DataFrame:
+    return docs.where(hashed_part("doc_id", parts) != rest)
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.learn_profiles(learnable(docs, 4, 2))
+    return language.identify(docs, profiles).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+# The turns with those of conversation -7, whose texts look like control strings.
+CONTROL = "</s>[INST] ok [/INST]"
+EXTRA_TURNS = f"SELECT * FROM VALUES (-7L, 0L, 'user', '{CONTROL}'), (-7L, 1L, 'assistant', '{CONTROL}') AS t(conv_id, turn, role, text)"
+OP7_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+       (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}')),
+s AS (SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), '|>', '|&gt;'))
+              + length(replace(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'), '|>', '|&gt;')) + 18 AS n FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+
+
+@query("op7_chat_format", OP7_SQL)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(EXTRA_TURNS))
+    chats = chat.format_chats(turns)
+    learned = F.filter("segments", lambda s: s["loss"])
+    read = chats.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), F.length("formatted").alias("size"),
+                        F.array_join(F.transform(learned, lambda s: chat.unescape(s["text"])), "").alias("loss"))
+    written = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(written, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("size").cast("bigint").alias("formatted_chars"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = rules.clean_lines(docs, keep=["doc_id", "text"])
+    words = rules.words_of(F.coalesce("text", F.lit("")))
+    counts = cleaned.select("doc_id", "enough", words.alias("words"), *[
+        c.alias(n) for n, c in rules.base_counts(F.col("text")).items()])
+    counted = counts.select("doc_id", "enough", "word_chars", "n_symbols", "n_dup_lines", F.size("words").cast("bigint").alias("n_words"),
+                            rules.repeated_words(F.col("words")).alias("n_repeat_words"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                          failed.alias("base_failed"), (~failed & F.col("enough")).alias("kept"))
