@@ -21,14 +21,17 @@ class LineRules:
     """What makes a line fail, and how much text a document may lose."""
 
     # Signs that end a sentence, perhaps followed by closing quotes or brackets.
-    ending: str = r"[.!?…:;][\"'’”»)\]]*\s*$"
-    # Menu separators between short entries, or a line of few words with a link mark.
-    navigation: str = r"(?:[^|»›•]{1,40}[|»›•]\s*){3,}"
+    ending: str = r"[.!?…:;][\"'’”»)\]]*\s*\z"
+    # A menu: at least so many separators, with at most so many characters for each.
+    separators: str = "|»›•"
+    min_separators: int = 2
+    max_entry_chars: int = 40
     # Fixed phrases of notices and page furniture, in lower case.
-    boilerplate: str = (r"licensed under|all rights reserved|copyright \(c\)|©|terms of (?:use|service)|privacy policy|"
-                        r"cookie|javascript|sign up|subscribe|click here|read more|lorem ipsum|powered by")
+    boilerplate: tuple[str, ...] = (
+        "licensed under", "all rights reserved", "copyright (c)", "©", "terms of use", "terms of service",
+        "privacy policy", "cookie", "javascript", "sign up", "subscribe", "click here", "read more", "lorem ipsum",
+        "powered by")
     max_symbol_share: float = 0.1
-    max_capital_share: float = 0.7
     max_lost_share: float = 0.5
 
 
@@ -47,6 +50,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def lines_of(text: Column) -> Column:
+    """Lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda s: F.rlike(s, F.lit(r"[^ \t-\r]")))
+
+
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """How many words lie in a run of `width` words found twice or more, the first included.
 
@@ -67,9 +75,9 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     def positions(pairs: Column) -> Column:
         """Starts of the windows that have an equal one, in order."""
         def twice(x: Column, k: Column) -> Column:
-            same = [F.get(pairs, F.when(k + d >= 0, k + d))["0"] == x["0"] for d in (-1, 1)]
+            same = [F.get(pairs, F.when(k + d >= 0, k + d))["h"] == x["h"] for d in (-1, 1)]
             return F.coalesce(same[0], F.lit(False)) | F.coalesce(same[1], F.lit(False))
-        return F.sort_array(F.transform(F.filter(pairs, twice), lambda x: x["1"]))
+        return F.sort_array(F.transform(F.filter(pairs, twice), lambda x: x["i"]))
 
     def count(found: Column) -> Column:
         return F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(covered(found))
@@ -80,12 +88,12 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 def line_fails(line: Column, rules: LineRules) -> Column:
     size = F.length(line)
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     symbols = size - F.length(drop_all(line, SYMBOLS))
-    return (~F.rlike(line, F.lit(rules.ending)) | F.rlike(line, F.lit(rules.navigation))
-            | F.rlike(F.lower(line), F.lit(rules.boilerplate)) | (symbols > rules.max_symbol_share * size)
-            | (capitals > F.lit(rules.max_capital_share) * letters))
+    marks = size - F.length(drop_all(line, rules.separators))
+    menu = (marks >= rules.min_separators) & (size <= rules.max_entry_chars * (marks + 1))
+    shouted = (F.upper(line) == line) & (F.lower(line) != line)
+    notice = let(F.lower(line), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in rules.boilerplate]))
+    return menu | (symbols > rules.max_symbol_share * size) | ~F.rlike(line, F.lit(rules.ending)) | shouted | notice
 
 
 def clean_lines(docs: DataFrame, rules: LineRules | None = None, text_col: str = "text",
@@ -93,8 +101,8 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text_col: str =
     """The kept columns with clean_text, lost_chars, n_line_chars and enough per row.
 
     Lines end at \\n. Lines without a word are dropped and count for nothing. A line fails if it
-    does not end like a sentence, looks like a menu, holds a phrase of a notice, or consists of
-    symbols or capitals. clean_text holds the lines that pass. enough is false if the failed lines
+    does not end like a sentence, looks like a menu, holds a phrase of a notice, has many symbols
+    or has capitals only. clean_text holds the lines that pass. enough is false if the failed lines
     hold more than max_lost_share of the characters of all lines with words, or if no line is left.
 
     A NULL or empty text has an empty clean_text and is not enough. Rows with equal ids are judged each
@@ -104,7 +112,7 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text_col: str =
     results = ["clean_text", "lost_chars", "n_line_chars", "enough"]
     keep = kept_columns(docs, keep, results)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(drop_all(s, " " + WHITE)) > 0)
+    lines = lines_of(text)
     chars = F.aggregate("__lines", F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
     good = F.filter("__lines", lambda s: ~line_fails(s, rules))
     left = F.aggregate("__good", F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
@@ -118,7 +126,7 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text_col: str =
 def base_counts(text: Column) -> dict[str, Column]:
     """Counts of words, their characters, symbols, repeated lines and repeated words of a text."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(drop_all(s, " " + WHITE)) > 0)
+    lines = lines_of(text)
     return {"word_chars": F.length(drop_all(text, " " + WHITE)).cast("bigint"),
             "n_symbols": (F.length(text) - F.length(drop_all(text, SYMBOLS))).cast("bigint"),
             "n_dup_lines": let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("bigint")}
