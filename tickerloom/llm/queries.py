@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import chat, language, packing, rules
+from tickerloom.llm import chat, language, neighbours, packing, rules
 from tickerloom.llm.arrow import hashed_part, map_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           failed.alias("base_failed"), (~failed & F.col("enough")).alias("kept"))
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Texts of the labelled documents."""
+    return docs.select("doc_id", "text").join(labels.where(F.col(name).isNotNull()).select("doc_id", name), "doc_id")
+
+
+def scored(rows: DataFrame, parts: int, rest: int, least: float) -> DataFrame:
+    return rows.select("doc_id", held_out(parts, rest).alias("held_out"), "score",
+                       (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = learnable(with_labels(docs, table(spark, sf_dir, "labels"), "quality"), 5, 0)
+    voters = neighbours.fit(docs, known, "quality")
+    return scored(neighbours.vote(docs, voters), 5, 0, 0.3)
