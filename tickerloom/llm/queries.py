@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import chat, language, neighbours, packing, rules
+from tickerloom.llm import chat, language, neighbours, packing, rules, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = learnable(with_labels(docs, table(spark, sf_dir, "labels"), "quality"), 5, 0)
     voters = neighbours.fit(docs, known, "quality")
     return scored(neighbours.vote(docs, voters), 5, 0, 0.3)
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(learnable(with_labels(docs, table(spark, sf_dir, "labels"), "toxic"), 3, 1))
+    return scored(toxicity.score(docs, model), 3, 1, 0.7)
