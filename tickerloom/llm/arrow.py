@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tickerloom.session import ship_package
+from tickerloom.session import durable, ship_package
 
 #: Texts are worked on in blocks of about this many bytes, so that temporary arrays stay small.
 BLOCK_BYTES = 1 << 20
@@ -26,6 +26,12 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint with columns of its own, so that it can be joined and united with itself."""
+    kept = durable(df)
+    return kept.select(*[F.col(c).alias(c) for c in kept.columns])
+
+
 def hashed_part(id_col: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo `parts`; NULL for a NULL id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import chat, language, neighbours, packing, pages, rules, toxicity
+from tickerloom.llm import chat, jaccard, language, neighbours, packing, pages, rules, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_extraction")
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(table(spark, sf_dir, "documents"), width=4, percent=85)
