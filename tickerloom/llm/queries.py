@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import chat, jaccard, language, neighbours, packing, pages, rules, toxicity
+from tickerloom.llm import chat, jaccard, language, neighbours, packing, pages, rules, substrings, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,21 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+# A window is compared by its words; DuckDB joins the windows of all documents.
+OP3_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS m FROM k GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM k JOIN f USING (h) WHERE m < doc_id),
+g AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, (x, q) -> NOT list_contains(js, q)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
