@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import chat, jaccard, language, neighbours, packing, pages, rules, substrings, toxicity
+from tickerloom.llm import chat, decontamination, jaccard, language, neighbours, packing, pages, rules, substrings, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,8 @@ FROM d LEFT JOIN g USING (doc_id)"""
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
