@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickerloom.llm.arrow import blocks_of, kept_columns, map_batches, text_bytes
 from tickerloom.llm.words import word_hashes
+from tickerloom.session import small_side
 
 #: Hashed terms, latent dimensions, labelled documents kept as neighbours (at most about), and votes.
 TERMS, RANK, SAMPLE, VOTES = 2048, 48, 3000, 15
@@ -92,21 +93,23 @@ class Voters:
         return np.where(total > 0, (weight * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-12), self.prior)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id",
         sample: int = SAMPLE) -> Voters | None:
-    """Voters from `labelled` (text and a 0/1 label); None if it has no labelled row.
+    """Voters from the documents that `labels` (id and a 0/1 label) names; None without labelled documents.
 
-    The idf covers all documents. Neighbours are a sample of about `sample` labelled rows, drawn by
-    a hash of the id: half of each label, as far as there are so many rows. Rows without a label
-    are left out.
+    The idf covers all documents. Neighbours are a sample of about `sample` labels, drawn by a hash
+    of the id before any text is read: half of each label, as far as there are so many. Other
+    labels and NULL ids are left out.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1))
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).cast("int")).count().collect()}
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("__label").count().collect()}
     if not sizes:
         return None
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col(label_col) == 1, min(1.0, sample / 2 / sizes.get(1, 1))).otherwise(min(1.0, sample / 2 / sizes.get(0, 1)))
-    chosen = rows.where(draw < share).select(F.col(text_col).alias("__text"), F.col(label_col).cast("int").alias("__label"))
+    draw = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("__label") == 1, min(1.0, sample / 2 / sizes.get(1, 1))).otherwise(min(1.0, sample / 2 / sizes.get(0, 1)))
+    drawn = small_side(rows.where(draw < share))
+    chosen = docs.join(drawn, docs[id_col] == drawn["__id"]).select(F.col(text_col).alias("__text"), "__label")
 
     def vectors(batch: pa.RecordBatch):
         data, offsets = text_bytes(batch.column(0))

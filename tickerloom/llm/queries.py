@@ -63,8 +63,8 @@ def held_out(parts: int, rest: int):
     return F.coalesce(hashed_part("doc_id", parts) == rest, F.lit(False))
 
 
-def learnable(docs: DataFrame, parts: int, rest: int) -> DataFrame:
-    return docs.where(hashed_part("doc_id", parts) != rest)
+def learnable(rows: DataFrame, parts: int, rest: int) -> DataFrame:
+    return rows.where(hashed_part("doc_id", parts) != rest)
 
 
 @query("op9_language_id")
@@ -130,8 +130,7 @@ def scored(rows: DataFrame, parts: int, rest: int, least: float) -> DataFrame:
 @query("op8_quality_classifier")
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = learnable(with_labels(docs, table(spark, sf_dir, "labels"), "quality"), 5, 0)
-    voters = neighbours.fit(docs, known, "quality")
+    voters = neighbours.fit(docs, learnable(table(spark, sf_dir, "labels"), 5, 0), "quality")
     return scored(neighbours.vote(docs, voters), 5, 0, 0.3)
 
 
