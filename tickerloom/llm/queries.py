@@ -12,11 +12,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tickerloom.llm import chat, decontamination, jaccard, language, neighbours, packing, pages, rules, substrings, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
+from tickerloom.session import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 END_ID = 2
+# Labels that are broadcast at most, 12 bytes each; more are joined by a shuffle of the texts.
+FEW_LABELS = 400_000
 
 
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
@@ -118,8 +121,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """Texts of the labelled documents."""
-    return docs.select("doc_id", "text").join(labels.where(F.col(name).isNotNull()).select("doc_id", name), "doc_id")
+    """Texts of the labelled documents. Labels are sent to the texts if they are few, by a count."""
+    few = small_side(labels.where(F.col(name).isNotNull()).select("doc_id", name), FEW_LABELS)
+    return docs.select("doc_id", "text").join(few, "doc_id")
 
 
 def scored(rows: DataFrame, parts: int, rest: int, least: float) -> DataFrame:
@@ -137,7 +141,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(learnable(with_labels(docs, table(spark, sf_dir, "labels"), "toxic"), 3, 1))
+    model = toxicity.fit(with_labels(docs, learnable(table(spark, sf_dir, "labels"), 3, 1), "toxic"))
     return scored(toxicity.score(docs, model), 3, 1, 0.7)
 
 

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tickerloom.llm.arrow import blocks_of, kept_columns, map_batches, text_bytes
+from tickerloom.llm.arrow import blocks_of, kept_columns, map_batches, stored, text_bytes
 from tickerloom.llm.words import LOWER, mix
-from tickerloom.session import durable, ship_package
+from tickerloom.session import ship_package
 
 #: Length of an n-gram in bytes, and slots that n-grams are hashed to (a model has one number for each).
 ORDER, SLOT_BITS, PART_BITS = 6, 22, 14
@@ -73,7 +73,7 @@ def class_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFram
 
     packed = labelled.select(text_col, F.col(label_col).cast("int").alias("__label")).mapInArrow(
         count, "part int, at binary, toxic binary, plain binary, docs binary")
-    return durable(packed.groupBy("part").applyInPandas(add, "part int, sums binary"))
+    return stored(packed.groupBy("part").applyInPandas(add, "part int, sums binary"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
