@@ -106,7 +106,37 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("size").cast("bigint").alias("formatted_chars"))
 
 
-@query("op10_quality_rules")
+def phrases_sql(phrases: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(lower(s), '{p}')" for p in phrases)
+
+
+LINE_RULES = rules.LineRules()
+# `s` is a line. The signs are those of rules.SYMBOLS and of the separators.
+OP10_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+k AS (SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS i,
+             unnest(list_transform(generate_series(1, len(w) - 4), lambda q: md5(array_to_string(w[q:q + 4], ' ')))) AS h FROM w WHERE len(w) >= 5),
+f AS (SELECT doc_id, h FROM k GROUP BY doc_id, h HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS j FROM k JOIN f USING (doc_id, h)) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(ls) AS s FROM w),
+m AS (SELECT doc_id, s, length(s) AS z, length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) AS symbols,
+             length(regexp_replace(s, '[^{LINE_RULES.separators}]+', '', 'g')) AS marks FROM l),
+v AS (SELECT doc_id, z, (marks >= {LINE_RULES.min_separators} AND z <= {LINE_RULES.max_entry_chars} * (marks + 1))
+             OR symbols > {LINE_RULES.max_symbol_share}::DOUBLE * z
+             OR NOT regexp_matches(s, '{LINE_RULES.ending.replace("'", "''")}')
+             OR (upper(s) = s AND lower(s) <> s) OR {phrases_sql(LINE_RULES.boilerplate)} AS fails FROM m),
+e AS (SELECT doc_id, sum(z) AS total, sum(CASE WHEN fails THEN 0 ELSE z END) AS good FROM v GROUP BY doc_id),
+a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             coalesce(good > 0 AND total - good <= {LINE_RULES.max_lost_share}::DOUBLE * total, false) AS enough
+      FROM w LEFT JOIN r USING (doc_id) LEFT JOIN e USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND enough AS kept FROM b"""
+
+
+@query("op10_quality_rules", OP10_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = rules.clean_lines(docs, keep=["doc_id", "text"])
@@ -156,14 +186,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A window is compared by its words; DuckDB joins the windows of all documents.
-OP3_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
-k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM p),
+OP3_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i,
+             unnest(list_transform(generate_series(1, len(w) - 12), lambda q: md5(array_to_string(w[q:q + 12], ' ')))) AS h FROM d WHERE len(w) >= 13),
 f AS (SELECT h, min(doc_id) AS m FROM k GROUP BY h),
 c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM k JOIN f USING (h) WHERE m < doc_id),
 g AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
-       sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, (x, q) -> NOT list_contains(js, q)) END, ' ')) AS kept_sha256
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, q: NOT list_contains(js, q)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)"""
 
 

@@ -21,7 +21,7 @@ class LineRules:
     """What makes a line fail, and how much text a document may lose."""
 
     # Signs that end a sentence, perhaps followed by closing quotes or brackets.
-    ending: str = r"[.!?…:;][\"'’”»)\]]*\s*\z"
+    ending: str = r"[.!?…:;][\"'’”»)\]]*[ \t-\r]*\z"
     # A menu: at least so many separators, with at most so many characters for each.
     separators: str = "|»›•"
     min_separators: int = 2
