@@ -18,8 +18,10 @@ from tickerloom.session import ship_package, small_side
 SKETCH_BITS, PART_BITS = 20, 14
 #: Entries of one token that meet in a task, about; more frequent tokens are salted.
 TOKEN_ROWS = 100_000
-#: Ids that are sent to all tasks instead of shuffling the texts, at most.
+#: Rows that are sent to all tasks instead of shuffling the texts, at most.
 FEW_IDS = 400_000
+#: Sets that are compared with one set in one task, about.
+PARTNERS = 1000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -127,14 +129,15 @@ def may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> C
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & enough(most, na, nb, percent)
 
 
-def index_entries(table: DataFrame, leaders: DataFrame) -> DataFrame:
+def index_entries(table: DataFrame, others: DataFrame) -> DataFrame:
     """(token, g, n, pos, hub, hub_n, hub_pos) of the group leaders, for tokens with two entries or more.
 
+    `others` are the rows that do not lead a group.
     The hub of a token is the entry with the fewest rarer tokens. Very frequent tokens, known by
     their class, are salted: each share has a hub of its own.
     """
     about = F.pow(F.lit(2.0), F.shiftrightunsigned("token", 56) / 4.0)
-    entries = (table.join(leaders, table["rid"] == leaders["r"], "left_semi")
+    entries = (table.join(small_side(others, FEW_IDS), "rid", "left_anti")
                .select(F.col("rid").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
                .withColumn("salt", F.when(about > TOKEN_ROWS, F.pmod(F.xxhash64("g"), F.ceil(about / TOKEN_ROWS).cast("bigint")))
                            .otherwise(F.lit(0).cast("bigint"))))
@@ -147,39 +150,57 @@ def index_entries(table: DataFrame, leaders: DataFrame) -> DataFrame:
 
 
 class Verifier:
-    """Counts exact overlaps of pairs of rows, reading the texts of candidate rows again."""
+    """Counts exact overlaps of pairs of rows, reading the texts of candidate rows again.
+
+    Each pair (a, b) is checked where b's set is: the sets of both go to b, or to one of b's shares if b
+    has many partners, in a single shuffle.
+    """
 
     def __init__(self, docs: DataFrame, table: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
         self.table = table.select("rid", "doc_id", "s1", "s2")
         self.width, self.percent = width, percent
 
-    def sets(self, rids: DataFrame) -> DataFrame:
-        """(rid, set) of the rows."""
-        wanted = self.table.join(rids, "rid")
-        few = small_side(wanted.select("doc_id").distinct(), FEW_IDS)
+    def sent_sets(self, pairs: DataFrame) -> DataFrame:
+        """(b, share, rid, set): the sets that each share of each b needs."""
+        counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("shares"))
+        shared = pairs.join(counts, "b").withColumn("share", F.pmod("a", "shares"))
+        places = F.inline(F.array(F.struct(F.col("a").alias("rid"), "b", "share"), F.struct(F.col("b").alias("rid"), "b", "share")))
+        wanted = shared.select(places).distinct().groupBy("rid").agg(F.collect_list(F.struct("b", "share")).alias("to"))
+        few = small_side(self.table.join(wanted, "rid"), FEW_IDS)
         width = self.width
 
         def work(batch: pa.RecordBatch):
-            sets = list(row_sets(batch.column(0), width))
-            keys = [double_hash(s) for s in sets]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["s1", "s2", "set"])
-
-        read = map_batches(self.docs.join(few, "doc_id").select("text"), work, "s1 bigint, s2 bigint, set array<bigint>")
-        return stored(read.join(wanted.select("rid", "s1", "s2"), ["s1", "s2"]).dropDuplicates(["rid"]).select("rid", "set"))
+            sets = list(row_sets(batch.column(4), width))
+            rids, one, two = (batch.column(c).to_pylist() for c in range(3))
+            rows = [(*(place.values()), rid, s) for s, rid, k1, k2, to in zip(sets, rids, one, two, batch.column(3).to_pylist(), strict=True)
+                    if double_hash(s) == (k1, k2) for place in to]
+            for lo in range(0, len(rows), 500):
+                part = rows[lo:lo + 500]
+                ends = np.cumsum([0, *(len(r[3]) for r in part)]).astype(np.int32)
+                flat = np.concatenate([r[3] for r in part]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in part], pa.int64()) for c in range(3)),
+                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["b", "share", "rid", "set"])
+
+        rows = self.docs.join(few, "doc_id").select("rid", "s1", "s2", "to", "text")
+        return map_batches(rows, work, "b bigint, share bigint, rid bigint, set array<bigint>")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that reach the threshold."""
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
-        one = sets.select(F.col("rid").alias("a"), F.col("set").alias("x"))
-        two = sets.select(F.col("rid").alias("b"), F.col("set").alias("y"))
-        size = F.size(F.array_intersect("x", "y")).cast("bigint")
-        found = pairs.join(one, "a").join(two, "b").where(enough(size, F.size("x"), F.size("y"), self.percent))
-        return stored(found.select("a", "b"))
+        percent = self.percent
+
+        def overlaps(table: pa.Table) -> pa.Table:
+            b = table.column("b")[0].as_py()
+            sets = {r: np.asarray(s.values) for r, s in zip(table.column("rid").to_pylist(), table.column("set"), strict=True)}
+            hub, found = np.sort(sets[b]), []
+            for r, own in sets.items():
+                at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+                both = int((hub[at] == own).sum())
+                if r != b and 100 * both >= percent * (len(hub) + len(own) - both):
+                    found.append(r)
+            return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([b] * len(found), pa.int64())})
+
+        return stored(self.sent_sets(pairs).groupBy("b", "share").applyInArrow(overlaps, "a bigint, b bigint"))
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +224,9 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
                                            F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     groups = units.groupBy("p1", "p2").agg(F.min("r").alias("g"))
     units = stored(units.join(groups, ["p1", "p2"]).select("s1", "s2", "r", "least_id", "n", "g"))
-    entries = index_entries(table.select("rid", "n", "prefix"), units.where(F.col("r") == F.col("g")).select("r"))
+    leads = units.where(F.col("r") == F.col("g")).select(F.col("r").alias("rid"))
+    others = table.select("rid").join(leads, "rid", "left_anti")
+    entries = index_entries(table.select("rid", "n", "prefix"), others)
 
     verify = Verifier(docs, table, id_col, text_col, width, percent)
     stars = entries.where((F.col("g") != F.col("hub")) & may_link(
@@ -238,4 +261,5 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     least = named.groupBy("c").agg(F.min("least_id").alias("component_id"))
     of_set = named.join(least, "c").select("s1", "s2", "component_id")
     return table.select("doc_id", "n", "s1", "s2").join(of_set, ["s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
