@@ -182,33 +182,50 @@ def tuned_report(spark, sf):
     return rounded(baseline.evaluate_tuned(views.index_bars(spark, sf)), *ROUND)
 
 
-def holdout(spark, sf):
-    table = baseline.feature_table(views.index_bars(spark, sf)).drop("row_id", "fold")
-    return folds.chrono_split(table, 0.8, "dt")
-
-
-def holdout_report(scored):
-    return rounded(metrics.fold_report(scored.withColumn("fold", F.lit(1)), auc="score").where(F.col("fold").isNull()).drop("fold"), *ROUND)
-
-
-@query("boosted_trees_report")
-def boosted_trees_report(spark, sf):
-    return holdout_report(models.split_scored(holdout(spark, sf), windows.BASE_FEATURES, "movement", ["dt", "ret"],
-                                              lambda n: models.boosted_trees(rounds=20)))
-
-
-@query("network_report")
-def network_report(spark, sf):
-    size = len(windows.BASE_FEATURES)
-    return holdout_report(models.split_scored(holdout(spark, sf), windows.BASE_FEATURES, "movement", ["dt", "ret"],
-                                              lambda n: models.network(size)))
-
-
-@query("deep_network_report")
-def deep_network_report(spark, sf):
-    size = len(windows.BASE_FEATURES)
-    return holdout_report(models.split_scored(holdout(spark, sf), windows.BASE_FEATURES, "movement", ["dt", "ret"],
-                                              lambda n: models.network(size, models.DEEP_HIDDEN, 100)))
+SIZE = len(windows.BASE_FEATURES)
+ESTIMATORS = {"boosted_trees": lambda n: models.boosted_trees(), "network": lambda n: models.network(SIZE),
+              "deep_network": lambda n: models.network(SIZE, models.DEEP_HIDDEN, 100)}
+
+
+def estimator_folds(kind: str, balanced: bool = False):
+    """Five expanding folds of one estimator, on plain or undersampled training rows."""
+    def run(spark, sf):
+        return rounded(baseline.evaluate(views.index_bars(spark, sf), balanced=balanced, estimator=ESTIMATORS[kind]), *ROUND)
+    return run
+
+
+# Whatever a classifier predicts, its scored rows are those of the folds, with their labels and returns.
+FOLD_ROWS = sql("index_bars", ("g", """SELECT dt, open / lag(close) OVER (ORDER BY dt) - 1 AS gap, 100 * (close / lag(close) OVER (ORDER BY dt) - 1) AS ret,
+  row_number() OVER (ORDER BY dt) - 8 AS i FROM index_bars"""), ("r", "SELECT *, count(*) OVER () AS n FROM g WHERE i >= 0"),
+  ("f", "SELECT *, CAST(floor((n + 0.0) / 6) AS BIGINT) AS part FROM r"),
+  """SELECT CAST(floor((i - (n - 5 * part) + 0.0) / part) AS INT) + 1 AS fold, count(*) AS n_rows,
+  CAST(sum(CASE WHEN gap > 0 THEN 1 ELSE 0 END) AS BIGINT) AS up_rows, round(sum(ret), 4) AS hold_return, count(*) AS scored
+  FROM f WHERE i >= n - 5 * part GROUP BY 1""")
+
+
+def estimator_rows(estimator=None, balanced: bool = False):
+    """Rows, up rows, return of holding, and rows with a probability, per fold."""
+    def run(spark, sf):
+        table = baseline.feature_table(views.index_bars(spark, sf))
+        resample = models.undersampled("movement", "row_id") if balanced else None
+        rows = models.folds_scored(table, windows.BASE_FEATURES, "movement", 5, ["dt", "fold", "ret"], estimator, resample)
+        fits = (F.col("y_prob").between(0, 1)) & ((F.col("y_prob") > 0.5).cast("int") == F.col("y_pred"))
+        return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y_true").cast("bigint").alias("up_rows"),
+                                        F.round(F.sum("ret"), 4).alias("hold_return"), F.count(F.when(fits, 1)).alias("scored"))
+    return run
+
+
+query("logistic_fold_rows", FOLD_ROWS)(estimator_rows())
+query("logistic_balanced_fold_rows", FOLD_ROWS)(estimator_rows(balanced=True))
+for kind, make in ESTIMATORS.items():
+    query(f"{kind}_report")(estimator_folds(kind))
+    query(f"{kind}_balanced_report")(estimator_folds(kind, balanced=True))
+    query(f"{kind}_fold_rows", FOLD_ROWS)(estimator_rows(make))
+
+
+@query("tuned_sentiment_report")
+def tuned_sentiment_report(spark, sf):
+    return rounded(baseline.evaluate_tuned(views.index_bars(spark, sf), scored_news(spark, sf)), *ROUND)
 
 
 def market_rows(spark, sf, fusion=False):

@@ -113,7 +113,7 @@ def log_returns(spark, sf):
 @query("garch_fit")
 def garch_fit(spark, sf):
     df = garch.garch_fit(log_returns(spark, sf), "log_return", "dt", BY)
-    return rounded(df, *[c for c in df.columns if c not in ("ticker", "dt")], digits=4)
+    return rounded(df, *[c for c in df.columns if c not in ("ticker", "dt", "garch_status")], digits=4)
 
 
 @query("garch_features")
@@ -160,9 +160,12 @@ def asof_prev_embedding(spark, sf):
         "dt", F.col("pos").cast("bigint"), F.round("x", 6).alias("x"))
 
 
-@query("cosine", sql("news_vectors", ("m", """SELECT dt, list(x ORDER BY i) AS mean FROM (SELECT dt, i, avg(CAST(emb[i] AS DOUBLE)) AS x
-  FROM news_vectors, range(1, 65) t(i) GROUP BY dt, i) GROUP BY dt"""), """SELECT news_id, dt,
-  round(list_cosine_similarity(CAST(emb AS DOUBLE[]), mean), 6) AS similarity FROM news_vectors JOIN m USING (dt)"""))
+@query("cosine", sql("", ("s", "SELECT count(*) AS n FROM embeddings"), ("v AS MATERIALIZED", """SELECT d.doc_id AS news_id,
+  CAST(DATE '1995-01-01' + CAST((d.doc_id % 400) * 6 AS INT) AS DATE) AS dt, CAST(e.embedding AS DOUBLE[]) AS emb
+  FROM (SELECT doc_id, doc_id % n AS k FROM documents, s) d JOIN embeddings e ON e.vec_id = d.k"""),
+  ("m AS MATERIALIZED", """SELECT dt, list(x ORDER BY i) AS mean FROM (SELECT dt, i, avg(x) AS x FROM
+  (SELECT dt, unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM v) GROUP BY dt, i) GROUP BY dt"""),
+  "SELECT news_id, dt, round(list_cosine_similarity(emb, mean), 6) AS similarity FROM v JOIN m USING (dt)"))
 def cosine_query(spark, sf):
     v = views.news_vectors(spark, sf)
     means = rollup.mean_vector(v, ["dt"], "emb").withColumnRenamed("emb", "mean")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.operators.ordering import row_index
-from tickerloom.session import small_side
+from tickerloom.session import join_on, small_side
 
 # Number of folds in evaluation and in tuning, share of training rows.
 FOLDS, TUNING_FOLDS = 5, 3
@@ -26,7 +26,7 @@ def with_size(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Number of rows of the table (a scalar subquery) or of the group (a join)."""
     if not by:
         return df.withColumn("_size", df.agg(F.count(F.lit(1))).scalar())
-    return df.join(small_side(group_size(df, by)), list(by))
+    return join_on(df, small_side(group_size(df, by)), list(by))
 
 
 def fold_of(index: Column, size: Column, k: int) -> Column:
@@ -43,7 +43,7 @@ def time_series_folds(df: DataFrame, k: int, date_col: str, seq_col: str | None
     if unit == "date":
         days = df.select(*by, date_col).distinct()
         days = time_series_folds(days, k, date_col, None, by)
-        return df.join(small_side(days), by + [date_col])
+        return join_on(df, small_side(days), by + [date_col])
     indexed = with_size(row_index(df, date_col, seq_col, by), by)
     return indexed.withColumn("fold", fold_of(F.col("row_id"), F.col("_size"), k)).drop("_size")
 

@@ -20,8 +20,10 @@ from tickerloom.operators.rollup import panel_mean
 BACKCAST_DECAY, BACKCAST_DAYS = 0.94, 75
 ORDERS = [(p, q) for p in (1, 2, 3) for q in (1, 2, 3)]
 HORIZON = 5
+#: Further searches from the best point, while the search has not come together.
+RESTARTS = 3
 SUMMARY = "p int, q int, n long, mu double, omega double, alpha array<double>, beta array<double>, " \
-          "loglik double, aic double, last_dt date, forecast array<double>"
+          "loglik double, aic double, status string, last_dt date, forecast array<double>"
 
 
 def start_variance(e2: np.ndarray) -> float:
@@ -51,15 +53,17 @@ def variances(e2: np.ndarray, omega: float, alpha: Sequence[float], beta: Sequen
     return np.array(out)
 
 
-def minimise(f, start: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
-    """Downhill simplex search."""
+def minimise(f, start: np.ndarray, steps: int) -> tuple[np.ndarray, float, bool]:
+    """Downhill simplex search: the best point, its value, and whether the values came together in time."""
     dim = len(start)
     points = [start] + [start + 0.5 * np.eye(dim)[i] for i in range(dim)]
     values = [f(p) for p in points]
+    together = False
     for _ in range(steps):
         order = np.argsort(values)
         points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-8 * (1 + abs(values[0])):
+        together = bool(values[-1] - values[0] < 1e-8 * (1 + abs(values[0])))
+        if together:
             break
         centre = np.mean(points[:-1], axis=0)
         trial = 2 * centre - points[-1]
@@ -79,15 +83,19 @@ def minimise(f, start: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
                 points = [points[0]] + [0.5 * (points[0] + p) for p in points[1:]]
                 values = [values[0]] + [f(p) for p in points[1:]]
     best = int(np.argmin(values))
-    return points[best], values[best]
+    return points[best], values[best], together
 
 
-def fit(r: np.ndarray, p: int, q: int, mean: str) -> dict | None:
-    """Maximum likelihood with normal errors; None when the series is too short or constant."""
+def fit(r: np.ndarray, p: int, q: int, mean: str) -> dict:
+    """Maximum likelihood with normal errors.
+
+    status is ok, not converged (the last point of the search is kept), or, without a model, short,
+    constant or failed.
+    """
     n, k = len(r), 1 + p + q + (mean == "constant")
     spread = float(np.var(r)) if n else 0.0
     if n < 10 + k or spread <= 0:
-        return None
+        return {"status": "short" if n < 10 + k else "constant"}
 
     def unpack(v: np.ndarray):
         # Shares of 1 for alpha, beta and a remainder keep every sum below one.
@@ -111,15 +119,18 @@ def fit(r: np.ndarray, p: int, q: int, mean: str) -> dict | None:
         tail = [float(r.mean() / np.sqrt(spread))] if mean == "constant" else []
         starts.append(np.concatenate([[0.0], np.log(shares), tail]))
     first = min(starts, key=loss)
-    best, value = minimise(loss, first, 60 * k)
-    best, value = minimise(loss, best, 40 * k)
+    best, value, _ = minimise(loss, first, 60 * k)
+    for _ in range(RESTARTS):
+        best, value, together = minimise(loss, best, 60 * k)
+        if together:
+            break
     if not np.isfinite(value):
-        return None
+        return {"status": "failed"}
     mu, omega, alpha, beta = unpack(best)
     e = r - mu
     h = variances(e * e, omega, alpha, beta, start_variance(e * e))
     return {"p": p, "q": q, "n": n, "mu": float(mu), "omega": float(omega), "alpha": alpha.tolist(), "beta": beta.tolist(),
-            "loglik": -value, "aic": 2 * value + 2 * k, "h": h, "resid": e}
+            "loglik": -value, "aic": 2 * value + 2 * k, "status": "ok" if together else "not converged", "h": h, "resid": e}
 
 
 def forecast(model: dict, days: int) -> list[float]:
@@ -154,19 +165,20 @@ def garch_fit(df: DataFrame, c: str, date_col: str, by: Sequence[str] = (), p: i
     """Per date: variance and volatility of the day, the forecast for the next day, residual.
 
     garch_cond_variance is the one-step forecast made on the date, cond_variance the one
-    that applied to it. Series that cannot be fitted give no rows.
+    that applied to it. garch_status tells how the fit went; rows of a series without a model have NULLs.
     """
     base = series_frame(df, c, date_col, by, scale)
     keys = [k for k in base.columns if k not in ("dt", "r")]
     schema = key_schema(base, keys) + "dt date, r double, cond_variance double, cond_volatility double, " \
-        "garch_cond_variance double, garch_cond_volatility double, garch_residuals double"
-    names = [*keys, "dt", "r", "cond_variance", "cond_volatility", "garch_cond_variance", "garch_cond_volatility", "garch_residuals"]
+        "garch_cond_variance double, garch_cond_volatility double, garch_residuals double, garch_status string"
+    names = [*keys, "dt", "r", "cond_variance", "cond_volatility", "garch_cond_variance", "garch_cond_volatility", "garch_residuals", "garch_status"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("dt").reset_index(drop=True)
         model = fit(rows["r"].to_numpy(), p, q, mean)
-        if model is None:
-            return pd.DataFrame([], columns=names)
+        rows["garch_status"] = model["status"]
+        if "h" not in model:
+            return rows.reindex(columns=names)
         h, n = model["h"], model["n"]
         return rows.assign(cond_variance=h[:n], cond_volatility=np.sqrt(h[:n]), garch_cond_variance=h[1:n + 1],
                            garch_cond_volatility=np.sqrt(h[1:n + 1]), garch_residuals=model["resid"])[names]
@@ -190,8 +202,9 @@ def garch_models(df: DataFrame, c: str, date_col: str, by: Sequence[str] = (), o
         p, q = int(key[-2]), int(key[-1])
         model = fit(rows["r"].to_numpy(), p, q, mean)
         record = dict.fromkeys(names) | dict(zip(keys, key)) | {"p": p, "q": q, "last_dt": rows["dt"].iloc[-1], "n": len(rows)}
-        if model:
-            record |= {k: v for k, v in model.items() if k in names} | {"forecast": forecast(model, days)}
+        record |= {k: v for k, v in model.items() if k in names}
+        if "h" in model:
+            record["forecast"] = forecast(model, days)
         return pd.DataFrame([record], columns=names)
 
     spread = base.withColumn("_o", F.explode(tried)).select(*keys, "_o.p", "_o.q", "dt", "r")
@@ -199,9 +212,9 @@ def garch_models(df: DataFrame, c: str, date_col: str, by: Sequence[str] = (), o
 
 
 def garch_select(models: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
-    """The order with the lowest AIC per series; failed fits are skipped."""
+    """The order with the lowest AIC per series, converged fits first; orders without a model are skipped."""
     rest = [c for c in models.columns if c not in by]
-    best = models.where(F.col("aic").isNotNull()).groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct("aic", "p", "q")).alias("m"))
+    best = models.where(F.col("aic").isNotNull()).groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(F.col("status") != "ok", "aic", "p", "q")).alias("m"))
     return best.select(*by, "m.*")
 
 

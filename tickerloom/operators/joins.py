@@ -11,14 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tickerloom.functions.prompts import NO_NEWS
 from tickerloom.functions.vectors import zero_vector
 from tickerloom.operators.rollup import daily_sentiment, mean_vector, ordered_texts
 from tickerloom.operators.windows import prev_distinct_date
 from tickerloom.session import small_side
 
-# Fixed value: text used before the first article.
-NO_NEWS = "No previous news available"
-
 
 def join_on_date(bars: DataFrame, news: DataFrame, on: Sequence[str] = ("dt",)) -> DataFrame:
     """Inner join; a bar appears once per article of its date."""

@@ -58,10 +58,11 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), y_true: str = "y_true", score
     cut = cut_by_value(df.select(*by, y_true, score), score)
     per_score = cut.groupBy(*by, "_bucket", score).agg(
         F.count(F.when(F.col(y_true) == 1, 1)).alias("pos"), F.count(F.when(F.col(y_true) == 0, 1)).alias("neg"))
-    inside = F.col("pos") * (sum_before("neg", by + ["_bucket"], [score]) + F.col("neg") / 2.0)
+    inside = F.col("pos").cast("double") * (sum_before("neg", by + ["_bucket"], [score]) + F.col("neg") / 2.0)
     buckets = per_score.withColumn("_wins", inside).groupBy(*by, "_bucket").agg(
         F.sum("_wins").alias("_wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = buckets.withColumn("_wins", F.col("_wins") + F.col("pos") * sum_before("neg", by, ["_bucket"]))
+    before = F.col("pos").cast("double") * sum_before("neg", by, ["_bucket"])
+    ranked = buckets.withColumn("_wins", F.col("_wins") + before)
     area = ratio(F.sum("_wins"), F.sum("pos") * F.sum("neg").cast("double"))
     return ranked.groupBy(*by).agg(area.alias("roc_auc"))
 

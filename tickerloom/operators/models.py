@@ -100,17 +100,6 @@ def vector_folds_scored(df: DataFrame, vector: str, label: str, k: int, keep: Se
     return durable(union_tables(side_by_side(one, range(1, k + 1))))
 
 
-def split_scored(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str],
-                 estimator: Callable[[int], object]) -> DataFrame:
-    """One hold-out: rows with part = train fit the model, the others are scored."""
-    table = durable(df)
-    train, test = table.where(F.col("part") == "train"), table.where(F.col("part") == "test")
-    ready = assembled(scaling.scale(train, features), features).select("features", label).cache()
-    model = estimator(ready.count()).fit(ready)
-    ready.unpersist()
-    return durable(scored(model, assembled(scaling.scale(test, features, train), features), label, keep))
-
-
 def f1_of(model, rows: DataFrame, label: str) -> float:
     hits = metrics.confusion(model.transform(rows).select(F.col(label).alias("y_true"), F.col("prediction").cast("int").alias("y_pred")))
     return metrics.class_metrics(hits).first()["f1"]

@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.numbers import hash_order
-from tickerloom.session import durable, small_side
+from tickerloom.session import durable, join_on, small_side
 
 BUCKET_ROWS = 1_000_000
 BUCKET_BITS = 11
@@ -48,10 +48,10 @@ def row_index(df: DataFrame, date_col: str, seq_col: str | None = None, by: Sequ
     days = cells.groupBy(*by, date_col).agg(F.sum("_n").alias("_n"))
     day_start = days.select(*by, date_col, sum_before("_n", by, [date_col]).alias("_day_start"))
     cell_start = cells.select(*cell_keys, sum_before("_n", by + [date_col], ["_cell"]).alias("_cell_start"))
-    starts = cell_start.join(day_start, by + [date_col]).select(
+    starts = join_on(cell_start, day_start, by + [date_col]).select(
         *cell_keys, (F.col("_day_start") + F.col("_cell_start")).alias("_start"))
     inside = Window.partitionBy(*cell_keys).orderBy(seq_col)
-    return (rows.join(starts, cell_keys)
+    return (join_on(rows, starts, cell_keys)
             .withColumn(name, (F.col("_start") + F.row_number().over(inside) - 1).cast("bigint"))
             .select(*df.columns, name))
 
@@ -107,7 +107,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     ranks = [r for spot in spots for r in (F.floor(spot), F.ceil(spot))]
     wanted = starts.where(reduce(or_, [holds(r, F.col("_start"), F.col("_in")) for r in ranks])).drop("_in")
-    near = cut.join(small_side(wanted), keys + ["_bucket"]).groupBy(*keys, "_bucket", "_start", "n_total", "value").agg(
+    near = join_on(cut, small_side(wanted), keys + ["_bucket"]).groupBy(*keys, "_bucket", "_start", "n_total", "value").agg(
         F.count(F.lit(1)).alias("n"))
     near = near.withColumn("n_before", F.col("_start") + sum_before("n", keys + ["_bucket"], ["value"]))
 
@@ -135,11 +135,11 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], quota_of: Callable[[DataFra
     parts = durable(rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")))
     quotas = quota_of(parts.groupBy(*keys).agg(F.sum("_n").alias("n")))
     left = F.col("quota") - sum_before("_n", keys, ["_part"])
-    over = parts.join(quotas.select(*keys, "quota"), keys).withColumn("_left", left).where(F.col("_n") > F.col("_left"))
+    over = join_on(parts, quotas.select(*keys, "quota"), keys).withColumn("_left", left).where(F.col("_n") > F.col("_left"))
     first = over.groupBy(*keys).agg(F.min("_part").alias("_cut"), F.min_by("_left", "_part").alias("_rest"))
-    cuts = quotas.select(*keys).join(first, keys, "left").select(
+    cuts = join_on(quotas.select(*keys), first, keys, "left").select(
         *keys, F.coalesce("_cut", F.lit(1 << 11)).alias("_cut"), F.coalesce("_rest", F.lit(0)).alias("_rest"))
-    joined = rows.join(small_side(cuts), keys, "left")
+    joined = join_on(rows, small_side(cuts), keys, "left")
     on_cut = F.coalesce(F.col("_part") == F.col("_cut"), F.lit(False))
     rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h", id_col))
     whole = joined.where(~on_cut).withColumn(flag, F.coalesce(F.col("_part") < F.col("_cut"), F.lit(False)))

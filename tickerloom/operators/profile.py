@@ -11,7 +11,7 @@ from tickerloom.functions.numbers import clean_double
 from tickerloom.functions.tails import student_t_two_sided
 from tickerloom.functions.text import ENGLISH_STOP_WORDS, blank_tokens, words_of
 from tickerloom.operators.ordering import exact_quantiles, unpivot_metrics
-from tickerloom.session import small_side
+from tickerloom.session import join_on, small_side
 
 
 def value_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Data
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     marks = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
-    return moments.join(marks, keys).select(
+    return join_on(moments, marks, keys).select(
         *keys, "n", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
         F.col("q2").alias("p75"), "max")
 
@@ -116,7 +116,8 @@ def box_stats(df: DataFrame, c: str, by: Sequence[str]) -> DataFrame:
     marks = exact_quantiles(df, [c], [0.25, 0.5, 0.75], by).drop("metric")
     spread = 1.5 * (F.col("q2") - F.col("q0"))
     fences = marks.withColumns({"_lo": F.col("q0") - spread, "_hi": F.col("q2") + spread})
-    rows = df.select(*by, clean_double(c).alias("x")).where(F.col("x").isNotNull()).join(small_side(fences), list(by))
+    rows = df.select(*by, clean_double(c).alias("x")).where(F.col("x").isNotNull())
+    rows = join_on(rows, small_side(fences), list(by))
     inside = (F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi"))
     return rows.groupBy(*by).agg(
         F.first("q0").alias("q1"), F.first("q1").alias("median"), F.first("q2").alias("q3"),

@@ -181,20 +181,24 @@ def unit_root_statistic(x: np.ndarray, maxlag: int | None) -> dict | None:
 
 
 def adf(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], maxlag: int | None = None) -> DataFrame:
-    """Unit-root test per series. A series has one row per date, which bounds the group."""
+    """Unit-root test per series. A series has one row per date, which bounds the group.
+
+    A series that is too short or constant keeps its row, with NULLs and a status.
+    """
     by = list(by)
     keys = by or ["_all"]
     base = df.where(F.col(c).isNotNull())
     base = base.select(*by, *order, F.col(c).cast("double").alias("_x")) if by else \
         base.select(F.lit(0).alias("_all"), *order, F.col(c).cast("double").alias("_x"))
-    fields = "statistic double, p_value double, used_lag int, n long, critical_1 double, critical_5 double, critical_10 double"
+    fields = "statistic double, p_value double, used_lag int, n long, critical_1 double, critical_5 double, critical_10 double, status string"
     types = dict(base.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + fields
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(order))
         found = unit_root_statistic(rows["_x"].to_numpy(), maxlag)
-        return pd.DataFrame([{**dict(zip(keys, key)), **found}] if found else [],
+        found = {**found, "status": "ok"} if found else {"n": len(rows), "status": "short or constant"}
+        return pd.DataFrame([{**dict(zip(keys, key)), **found}],
                             columns=[f.split()[0] for f in schema.split(", ")])
 
     out = base.groupBy(*keys).applyInPandas(test, schema)

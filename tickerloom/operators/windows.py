@@ -21,8 +21,6 @@ BASE_FEATURES = ["open", "close_lag1", "high_lag1", "volume_lag1", "daily_return
 SENTIMENT_FEATURES = BASE_FEATURES + ["aggregate_sentiment_score_lag1", "sentiment_volatility_lag1"]
 GARCH_LAGS = (1, 2, 3, 5, 7)
 GARCH_WINDOWS = (3, 5, 7)
-NUMERIC_BURN_IN = 7
-SENTIMENT_BURN_IN = 12
 
 
 def series(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -127,21 +125,27 @@ def prev_distinct_date(df: DataFrame, by: Sequence[str], date_col: str) -> DataF
 
 
 def baseline_features(bars: DataFrame, by: Sequence[str], order: Sequence[str], sentiment: bool = False) -> DataFrame:
-    """Label, returns, volatility and lag-1 features in one window pass.
+    """Label, returns, volatility and lag-1 features.
 
-    Incomplete rows occur only at the head of a series (7 rows, or 12 with sentiment),
-    so cutting them once equals dropping them stage by stage.
+    Rows with a missing value drop out at each stage, and the next stage looks at the rows that are
+    left, so a gap inside a series costs rows but leaves no NULL. At the head 7 rows drop out, or
+    12 with sentiment. All stages share one partitioning and order.
     """
-    df = bars.withColumns({"_gap": gap_return(by, order), "daily_return": pct_change("close", by, order) * 100})
-    df = df.withColumn("volatility", rolling_std("daily_return", RETURN_WINDOW, by, order))
-    lagged = ["close", "high", "volume", "daily_return", "volatility"]
-    if sentiment:
-        df = df.withColumn("sentiment_volatility",
-                           rolling_std("aggregate_sentiment_score", RETURN_WINDOW, by, order))
-        lagged += ["aggregate_sentiment_score", "sentiment_volatility"]
+    df = bars.withColumn("_gap", gap_return(by, order)).where(F.col("_gap").isNotNull())
     df = df.withColumn("movement", up_flag("_gap")).drop("_gap")
-    df = add_lags(df, lagged, [1], by, order)
-    return drop_burn_in(df, SENTIMENT_BURN_IN if sentiment else NUMERIC_BURN_IN, by, order)
+    df = df.withColumn("daily_return", pct_change("close", by, order) * 100).where(F.col("daily_return").isNotNull())
+    df = df.withColumn("volatility", rolling_std("daily_return", RETURN_WINDOW, by, order)).where(F.col("volatility").isNotNull())
+    df = with_complete_lags(df, ["close", "high", "volume", "daily_return", "volatility"], by, order)
+    if not sentiment:
+        return df
+    df = df.where(F.col("aggregate_sentiment_score").isNotNull())
+    df = df.withColumn("sentiment_volatility", rolling_std("aggregate_sentiment_score", RETURN_WINDOW, by, order))
+    df = df.where(F.col("sentiment_volatility").isNotNull())
+    return with_complete_lags(df, ["aggregate_sentiment_score", "sentiment_volatility"], by, order)
+
+
+def with_complete_lags(df: DataFrame, cols: Sequence[str], by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return add_lags(df, cols, [1], by, order).dropna(subset=[f"{c}_lag1" for c in cols])
 
 
 def volatility_features(df: DataFrame, vol: str, resid: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:

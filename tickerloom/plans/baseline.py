@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,11 +23,12 @@ def features_of(news: DataFrame | None) -> Sequence[str]:
     return windows.BASE_FEATURES if news is None else windows.SENTIMENT_FEATURES
 
 
-def evaluate(bars: DataFrame, news: DataFrame | None = None, balanced: bool = False, k: int = folds.FOLDS) -> DataFrame:
-    """Logistic regression over expanding folds; classification metrics averaged over folds."""
+def evaluate(bars: DataFrame, news: DataFrame | None = None, balanced: bool = False, k: int = folds.FOLDS,
+             estimator: Callable[[int], object] | None = None) -> DataFrame:
+    """A classifier (logistic regression by default) over expanding folds; classification metrics averaged over folds."""
     table = feature_table(bars, news, k)
     resample = models.undersampled(LABEL, "row_id") if balanced else None
-    scored = models.folds_scored(table, features_of(news), LABEL, k, KEEP, resample=resample)
+    scored = models.folds_scored(table, features_of(news), LABEL, k, KEEP, estimator, resample)
     return metrics.fold_report(scored, overall="fold_mean", auc="score")
 
 

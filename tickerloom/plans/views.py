@@ -39,7 +39,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def many_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of 200 series, used by the bench."""
+    """Bars of 200 series."""
     series = F.concat(F.lit("T"), (F.col("o_custkey") % 200).cast("string")).alias("ticker")
     keys = [series, F.col("o_orderdate").cast("date").alias("dt")]
     return roll_up_trades(table(spark, sf_dir, "orders"), keys, "o_totalprice", "o_orderkey")
@@ -170,5 +170,6 @@ def sql(views: str, *steps: tuple[str, str] | str) -> str:
     names: list[str] = []
     for view in views.split():
         names += [v for v in VIEW_NEEDS.get(view, []) + [view] if v not in names]
-    parts = [f"{v} AS ({VIEW_SQL[v]})" for v in names] + [f"{n} AS ({body})" for n, body in steps[:-1]]
+    parts = [f"{v} AS ({VIEW_SQL[v]})" for v in names]
+    parts += [f"{n} ({body})" if " AS " in n else f"{n} AS ({body})" for n, body in steps[:-1]]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + steps[-1]

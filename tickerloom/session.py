@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,8 +21,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# A side of this many narrow rows takes a few MB.
-SMALL_ROWS = 100_000
+# A side is broadcast if it has at most so many rows, and rows times columns' widths stay in so many bytes.
+SMALL_ROWS, SMALL_BYTES = 100_000, 32 << 20
 _shipped: set[str] = set()
 
 
@@ -42,7 +45,7 @@ def checkpoint_ready(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="tickerloom-checkpoint-")
     context.setCheckpointDir(folder)
@@ -55,14 +58,24 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Prepare one side of a join: broadcast it if it has at most max_rows rows.
+    """Prepare one side of a join: broadcast it if it has at most max_rows rows and SMALL_BYTES bytes.
 
-    The rows are counted first. A larger side is joined without a hint, i.e. by a sort-merge
+    Rows and bytes are measured first (bytes by the length of the rows' JSON form, which is never
+    less than a binary row's values by more than a small factor). A larger side is joined without a hint, i.e. by a sort-merge
     join whose skewed partitions adaptive execution splits. Without this check Spark would
     shuffle the large side (whole articles) before it learns that the other one is small.
     """
     kept = durable(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    few = kept.limit(max_rows + 1)
+    rows, size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(kept) if rows <= max_rows and size <= SMALL_BYTES else kept
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other, so that groups with a NULL key are kept."""
+    other = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [left[k].eqNullSafe(other[f"__{k}"]) for k in keys]
+    return left.join(other, reduce(and_, same), how).drop(*[f"__{k}" for k in keys])
 
 
 def spread(df: DataFrame) -> DataFrame:
