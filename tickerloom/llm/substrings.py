@@ -110,7 +110,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
 
     Steps: (1) every document sends the anchors of its windows, and anchors found in two documents
     are kept; (2) windows at such anchors are confirmed by their hashes, which gives
-    the least id that has each; (3) each group of documents compiles the phrases confirmed for it into an
+    the least id that has each; (3) each group of documents compiles the passages confirmed for it into an
     automaton and streams its documents through it. Anchors, windows and documents are dealt by
     hashes into groups of bounded size; what is frequent in a task or group is sent once, not once
     for each document, so a passage in a third of all documents stays small.
@@ -249,44 +249,51 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         "doc_id", *extra, "clean_text", "n_words", "n_removed")
 
 
+def passages(w: Windows, ids: np.ndarray, there: np.ndarray, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, latest first id of a window) of the longest runs of windows confirmed for their rows."""
+    order = np.argsort(codes, kind="stable")
+    hit = in_sorted(w.hashes(), codes[order])
+    earliest = first[order][hit]
+    held = (hit >= 0) & there[w.row] & (earliest < ids[w.row])
+    new = np.append(True, (w.row[1:] != w.row[:-1]) | ~held[:-1])
+    starts = np.flatnonzero(held & new)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    ends = np.flatnonzero(held & np.append(new[1:] | ~held[1:], True))
+    latest = np.maximum.reduceat(np.where(held, earliest, np.iinfo(np.int64).min), starts)
+    return w.at[starts], w.at[ends] + w.width, latest
+
+
 def locate(w: Windows, ids: np.ndarray, there: np.ndarray, codes: np.ndarray, first: np.ndarray, covered: np.ndarray) -> None:
-    """Add the occurrences of the confirmed phrases to `covered` (+1 where one begins, -1 where it ends).
+    """Add the occurrences of the confirmed passages to `covered` (+1 where one begins, -1 where it ends).
 
-    Words of the group become letters, phrases become strings, and the automaton of the phrases
-    reads each document once.
+    Words of the group become letters, passages become strings, and the automaton of the passages reads
+    each document once. A passage counts in a row whose id is above the first ids of all its windows;
+    the longest runs of each row are among the passages, so every covered word is found.
     """
     import ahocorasick
 
-    order = np.argsort(codes, kind="stable")
-    codes, first = codes[order], first[order]
-    hashes = w.hashes()
-    hit = in_sorted(hashes, codes)
-    seen = np.flatnonzero(hit >= 0)
-    if not len(seen):
+    starts, ends, latest = passages(w, ids, there, codes, first)
+    if not len(starts):
         return
-    which, example = np.unique(hit[seen], return_index=True)
     kinds, letter = np.unique(w.words, return_inverse=True)
-    if len(kinds) > LETTERS:
-        # A single text with so many different words: its windows are placed by their hashes.
-        for at, k in zip(w.at[seen].tolist(), hit[seen].tolist(), strict=True):
-            row = int(np.searchsorted(w.rows, at, "right")) - 1
-            if there[row] and first[k] < ids[row]:
-                covered[at] += 1
-                covered[at + w.width] -= 1
+    if len(kinds) > LETTERS:  # a single text with so many different words
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, ends, -1)
         return
     letter = letter.astype(np.uint32) + 1
     letter[letter >= 0xD800] += 0x800
     text = letter.astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton()
-    for at, k in zip(w.at[seen[example]].tolist(), which.tolist(), strict=True):
-        automaton.add_word(text[at:at + w.width], int(first[k]))
+    for a, b, least in zip(starts.tolist(), ends.tolist(), latest.tolist(), strict=True):
+        automaton.add_word(text[a:b], (b - a, least))
     automaton.make_automaton()
-    ends: list[int] = []
+    found: list[tuple[int, int]] = []
     for row, (a, b) in enumerate(zip(w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True)):
         if b - a >= w.width and there[row]:
             own = int(ids[row])
-            ends += [a + end for end, least in automaton.iter(text[a:b]) if least < own]
-    last = np.array(ends, np.int64)
-    np.add.at(covered, last - w.width + 1, 1)
+            found += [(a + end, size) for end, (size, least) in automaton.iter(text[a:b]) if least < own]
+    last, size = np.array(found, np.int64).reshape(-1, 2).T
+    np.add.at(covered, last - size + 1, 1)
     np.add.at(covered, last + 1, -1)
-
