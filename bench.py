@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -29,7 +30,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = make_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.enabled": "false",
-        "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false"})
+        "spark.log.level": "ERROR", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tickerloom-bench-"), "spark.ui.showConsoleProgress": "false"})
     queries, _ = catalog.load()
     # Read the input once, so that the first query does not pay for starting up.
     views.bars(spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -73,7 +74,8 @@ if __name__ == "__main__":
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tickerloom-compare-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     wanted = sys.argv[1:]

@@ -223,6 +223,22 @@ for kind, make in ESTIMATORS.items():
     query(f"{kind}_fold_rows", FOLD_ROWS)(estimator_rows(make))
 
 
+@query("ticker_fold_report", sql("bars", ("g", """SELECT ticker, dt, open / lag(close) OVER w - 1 AS gap, 100 * (close / lag(close) OVER w - 1) AS ret,
+  row_number() OVER w - 8 AS i FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY dt)"""),
+  ("r", "SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM g WHERE i >= 0"), ("f", "SELECT *, CAST(floor((n + 0.0) / 6) AS BIGINT) AS part FROM r"),
+  """SELECT ticker, CAST(floor((i - (n - 5 * part) + 0.0) / part) AS INT) + 1 AS fold, count(*) AS n_rows,
+  CAST(sum(CASE WHEN gap > 0 THEN 1 ELSE 0 END) AS BIGINT) AS up_rows, round(sum(ret), 4) AS hold_return, count(*) AS scored
+  FROM f WHERE i >= n - 5 * part GROUP BY 1, 2"""))
+def ticker_fold_report(spark, sf):
+    """Rows, up rows, return of holding, and the total of the confusion counts, per ticker and fold."""
+    rows = baseline.each_scored(views.bars(spark, sf), views.TICKERS)
+    counts = metrics.confusion(rows, ["ticker", "fold"])
+    kept = rows.groupBy("ticker", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y_true").cast("bigint").alias("up_rows"),
+                                              F.round(F.sum("ret"), 4).alias("hold_return"))
+    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return kept.join(counts, ["ticker", "fold"]).select("ticker", "fold", "n_rows", "up_rows", "hold_return", total.alias("scored"))
+
+
 @query("tuned_sentiment_report")
 def tuned_sentiment_report(spark, sf):
     return rounded(baseline.evaluate_tuned(views.index_bars(spark, sf), scored_news(spark, sf)), *ROUND)
