@@ -241,7 +241,9 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         "r", "g", F.coalesce("component", "r").alias("c")))
     # NULL for a group with units of several components: its pairs are always looked at.
     group_of = placed.groupBy("g").agg(F.when(F.min("c") == F.max("c"), F.min("c")).alias("c"))
-    marked = entries.select("token", "g", "n", "pos").join(group_of, "g")
+    moved = group_of.where(F.coalesce(F.col("c") != F.col("g"), F.lit(True))).select("g", "c", F.lit(True).alias("moved"))
+    marked = entries.select("token", "g", "n", "pos").join(small_side(moved, FEW_IDS), "g", "left").withColumn(
+        "c", F.when(F.col("moved"), F.col("c")).otherwise(F.col("g"))).drop("moved")
     open_ = marked.groupBy("token").agg(F.min(F.coalesce("c", F.lit(-1))).alias("lo"), F.max(F.coalesce("c", F.lit(-2))).alias("hi")).where(
         F.col("lo") != F.col("hi")).select("token")
     live = stored(marked.join(open_, "token"))
