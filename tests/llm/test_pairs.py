@@ -1,11 +1,9 @@
 """Near copies, repeated passages and benchmark items against plain Python."""
 
-import hashlib
 import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from tickerloom.llm import decontamination, graph, jaccard, substrings
 

@@ -1,7 +1,6 @@
 """Operators that work row by row: exact round trips, plain Python, held-out accuracy, and hard rows."""
 
 import collections
-import hashlib
 import re
 import zlib
 

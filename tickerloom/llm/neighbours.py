@@ -29,7 +29,7 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for lo in range(0, max(len(part) - 2, 0), 1 << 20):  # one text can be longer than a block
             chunk = part[lo:lo + (1 << 20) + 2]
             slots = ((chunk[:-2] * np.uint32(0x9E3779B1)) ^ (chunk[1:-1] * np.uint32(0x85EBCA6B)) ^ (chunk[2:] * np.uint32(0xC2B2AE35)))
-            slots = ((slots * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 11)).astype(np.int64)
+            slots = ((slots * np.uint32(0x27D4EB2F)) >> np.uint32(33 - TERMS.bit_length())).astype(np.int64)
             slots = np.maximum(slots, REPEATS)
             bounds = np.clip(cuts - lo, 0, len(chunk))
             for k in range(last - first):
