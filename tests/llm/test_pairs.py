@@ -162,6 +162,30 @@ def test_decontamination_of_hard_rows(spark, hard_docs, no_docs, prose_of):
     assert decontamination.without_items(hard_docs, bench.where("false")).count() == hard_docs.count()
 
 
+def test_short_and_common_items_are_found_word_for_word(spark, prose_of):
+    short, common, copied = "zebra quagga okapi tapir", "as it is so it was and so it is", prose_of(7000, 20)
+    docs = []
+    for k in range(60):
+        words = prose_of(k, 60).split()
+        words[::4] = ["as", "it", "is", "so", "was", "and"][k % 6:] + words[::4][6 - k % 6:]
+        if k % 10 == 1:
+            words[30:30] = short.split()
+        if k % 10 == 2:
+            words[30:30] = common.split()
+        if k % 3 == 0:
+            words = words[:12] + copied.split()
+        docs.append((k, " ".join(words)))
+    docs += [(100, "zebra quagga okapi and tapir"), (101, "Zebra, quagga: OKAPI tapir!")]
+    edited_copy = copied.split()
+    edited_copy[9:10] = []
+    docs.append((102, " ".join(prose_of(9000, 30).split() + edited_copy)))
+    bench = spark.createDataFrame([(1, short), (2, common), (3, copied), (4, "..."), (5, "zebra tapir")], "item_id bigint, text string")
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    wanted = {(k, 1) for k in range(60) if k % 10 == 1 and k % 3} | {(k, 2) for k in range(60) if k % 10 == 2 and k % 3}
+    wanted |= {(k, 3) for k in range(0, 60, 3)} | {(101, 1), (102, 3)}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == wanted and len(found) == len(wanted)
+
+
 def test_longest_common_subsequence():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
