@@ -186,6 +186,18 @@ def test_short_and_common_items_are_found_word_for_word(spark, prose_of):
     assert {(r["doc_id"], r["item_id"]) for r in found} == wanted and len(found) == len(wanted)
 
 
+def test_copies_are_found_without_a_latent_candidate(prose_of):
+    import numpy as np
+    import pyarrow as pa
+
+    terms = 1 << decontamination.TERM_BITS
+    idf, rare, blind = np.full(terms, 9.0), np.ones(terms, bool), np.zeros((terms, 4), np.float32)
+    items = decontamination.Items.of([1, 2], [prose_of(60, 30), prose_of(61, 30)], blind, idf, rare)
+    texts = pa.array([prose_of(1, 50) + " " + prose_of(61, 30) + " " + prose_of(2, 50), prose_of(3, 99)])
+    found = [decontamination.hits(p, items, blind) for _, p in decontamination.passages_of(texts, rare)]
+    assert found == [[(0, 1, 1.0, 1.0, 1.0)]] and (decontamination.RANK, decontamination.SPARE) == (128, 12)
+
+
 def test_longest_common_subsequence():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
