@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickerloom.llm import decontamination, jaccard, language, packing, substrings
+from tickerloom.llm.arrow import stored
 from tickerloom.session import checkpoint_ready, small_side
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,10 +24,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id. Rows with a NULL id stay."""
-    groups = jaccard.near_copies(docs).where(F.col("doc_id").isNotNull())
-    dropped = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays")
-    return docs.join(small_side(dropped.select("doc_id"), FEW_IDS), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies: that with the least id (NULL last), then the least row key.
+
+    Rows with equal or NULL ids are judged each by itself; rows without words stay.
+    """
+    checkpoint_ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4()}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    keyed = spark.read.parquet(folder)
+    groups = stored(jaccard.near_copies(keyed, row_col="__row").where(F.col("component").isNotNull()))
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("n"))
+    several = best.where("n > 1").select("component", F.col("best.rid").alias("stays"))
+    dropped = groups.join(several, "component").where(F.col("rid") != F.col("stays")).select(F.col("rid").alias("__row"))
+    return keyed.join(small_side(dropped, FEW_IDS), "__row", "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,18 @@ def test_stages_on_hard_rows(spark, hard_docs, no_docs):
             docs = out if name != "packing" else docs
 
 
+def test_one_row_of_each_group_of_near_copies_stays(spark, prose_of):
+    one, two, three, four = (prose_of(k, 60) for k in (801, 802, 803, 804))
+    rows = [(1, one), (1, one), (1, one), (5, one + " more"), (5, two), (7, one), (None, one), (None, three), (None, three),
+            (None, three + " more"), (None, four), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.near_copies(spark, docs.repartition(3), SF)
+    found = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert left.columns == docs.columns
+    near = [(i, t.removesuffix(" more") if t else t) for i, t in found]
+    assert sorted(near, key=repr) == sorted([(1, one), (5, two), (None, three), (None, four), (9, None), (None, "")], key=repr)
+
+
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

@@ -90,8 +90,8 @@ def frequency_classes(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return out
 
 
-def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """rid, doc_id, n, two-part hashes of the set and of (n, prefix), and the prefix, per row.
+def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, row_col: str | None = None) -> DataFrame:
+    """rid (row_col, if given), doc_id, n, two-part hashes of the set and of (n, prefix), and the prefix, per row.
 
     A token is a shingle with its frequency class in front, so that tokens sort rare ones first.
     Two sets at or above the threshold share one of the first n - ceil(percent n / 100) + 1 tokens.
@@ -111,12 +111,15 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, percen
         ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(4)),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"])
+            [*(batch.column(c) for c in (0, *range(2, batch.num_columns))), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(4)),
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", *key, "n", "s1", "s2", "p1", "p2", "prefix"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = map_batches(rows, work, "doc_id bigint, n bigint, s1 bigint, s2 bigint, p1 bigint, p2 bigint, prefix array<bigint>")
-    return stored(found.withColumn("rid", F.monotonically_increasing_id()))
+    key = ["rid"] if row_col else []
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
+                       *[F.col(row_col).cast("bigint").alias(c) for c in key])
+    found = map_batches(rows, work, "doc_id bigint, " + "rid bigint, " * len(key) +
+                        "n bigint, s1 bigint, s2 bigint, p1 bigint, p2 bigint, prefix array<bigint>")
+    return stored(found if row_col else found.withColumn("rid", F.monotonically_increasing_id()))
 
 
 def enough(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -156,9 +159,11 @@ class Verifier:
     has many partners, in a single shuffle.
     """
 
-    def __init__(self, docs: DataFrame, table: DataFrame, id_col: str, text_col: str, width: int, percent: int):
-        self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-        self.table = table.select("rid", "doc_id", "s1", "s2")
+    def __init__(self, docs: DataFrame, table: DataFrame, id_col: str, text_col: str, width: int, percent: int, row_col: str | None = None):
+        # The texts are found by their ids, or by their row keys, which also rows with a NULL id have.
+        self.key = "rid" if row_col else "doc_id"
+        self.docs = docs.select(F.col(row_col or id_col).cast("bigint").alias(self.key), F.col(text_col).alias("text"))
+        self.table = table.select("rid", "s1", "s2") if row_col else table.select("rid", "doc_id", "s1", "s2")
         self.width, self.percent = width, percent
 
     def sent_sets(self, pairs: DataFrame) -> DataFrame:
@@ -182,7 +187,7 @@ class Verifier:
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in part], pa.int64()) for c in range(3)),
                                                   pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["b", "share", "rid", "set"])
 
-        rows = self.docs.join(few, "doc_id").select("rid", "s1", "s2", "to", "text")
+        rows = self.docs.join(few, self.key).select("rid", "s1", "s2", "to", "text")
         return map_batches(rows, work, "b bigint, share bigint, rid bigint, set array<bigint>")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -203,7 +208,8 @@ class Verifier:
         return stored(self.sent_sets(pairs).groupBy("b", "share").applyInArrow(overlaps, "a bigint, b bigint"))
 
 
-def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id per row; component_id is the least id reachable by links.
 
     Two rows link if the Jaccard similarity of their sets of `width`-word shingles (ASCII letters in lower
@@ -217,9 +223,12 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     links with nothing. Rows with a NULL id are returned with a NULL component and link with nothing.
     Rows with equal ids are units by their texts; each row is returned. An empty table gives no rows.
     Ids are cast to bigint. Other columns are left out.
+
+    With `row_col`, a stored bigint key of the rows, rows with a NULL id link as the others do, and the result is rid (the
+    key), doc_id and component, which names the rows' component by one of their keys (NULL without words).
     """
-    table = prefix_table(docs, id_col, text_col, width, percent)
-    usable = table.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    table = prefix_table(docs, id_col, text_col, width, percent, row_col)
+    usable = table.where((F.lit(bool(row_col)) | F.col("doc_id").isNotNull()) & (F.col("n") > 0))
     units = usable.groupBy("s1", "s2").agg(F.min("rid").alias("r"), F.min("doc_id").alias("least_id"), F.min("n").alias("n"),
                                            F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     groups = units.groupBy("p1", "p2").agg(F.min("r").alias("g"))
@@ -228,7 +237,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     others = table.select("rid").join(leads, "rid", "left_anti")
     entries = index_entries(table.select("rid", "n", "prefix"), others)
 
-    verify = Verifier(docs, table, id_col, text_col, width, percent)
+    verify = Verifier(docs, table, id_col, text_col, width, percent, row_col)
     stars = entries.where((F.col("g") != F.col("hub")) & may_link(
         F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent)).select(
             F.greatest("g", "hub").alias("a"), F.least("g", "hub").alias("b"))
@@ -260,6 +269,10 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     final = components(links.union(more))
     named = units.join(final, units["r"] == final["node"], "left").select(
         "s1", "s2", "least_id", F.coalesce("component", "r").alias("c"))
+    if row_col:
+        sets = named.select("s1", "s2", F.col("c").alias("component"))
+        return table.select("rid", "doc_id", "s1", "s2", "n").join(sets, ["s1", "s2"], "left").select(
+            "rid", "doc_id", F.when(F.col("n") > 0, F.col("component")).alias("component"))
     least = named.groupBy("c").agg(F.min("least_id").alias("component_id"))
     of_set = named.join(least, "c").select("s1", "s2", "component_id")
     return table.select("doc_id", "n", "s1", "s2").join(of_set, ["s1", "s2"], "left").select(
