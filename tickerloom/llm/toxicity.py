@@ -1,4 +1,4 @@
-"""Toxicity scores from class-conditional Kneser-Ney models of letter n-grams."""
+"""Toxicity scores from log ratios of letter n-grams of one order, discounted with a shared backoff (simplified Kneser-Ney)."""
 
 from __future__ import annotations
 
