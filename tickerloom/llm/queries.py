@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import chat, decontamination, jaccard, language, neighbours, packing, pages, rules, substrings, toxicity
+from tickerloom.llm import chat, decontamination, jaccard, language, middle, neighbours, packing, pages, rules, substrings, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
 from tickerloom.session import small_side
 
@@ -206,3 +206,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_decontamination")
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '{middle.UNIT}') AS u, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] AS draw FROM d),
+c AS (SELECT *, len(u) AS n, list_sort([draw[1] % (len(u) + 1), draw[2] % (len(u) + 1)]) AS cut,
+             CASE WHEN t = '' OR contains(t, '{middle.PREFIX}') OR contains(t, '{middle.SUFFIX}') OR contains(t, '{middle.MIDDLE}')
+                       OR draw[3] % 100 >= {middle.PLAIN_FROM} THEN 'plain'
+                  WHEN draw[4] % 100 < {middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:cut[1]], '') AS a, array_to_string(u[cut[1] + 1:cut[2]], '') AS b, array_to_string(u[cut[2] + 1:], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('{middle.PREFIX}', a, '{middle.SUFFIX}', z, '{middle.MIDDLE}', b)
+                        ELSE concat('{middle.SUFFIX}', z, '{middle.PREFIX}', a, '{middle.MIDDLE}', b) END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(middle.restore(), 256).alias("restored_sha256"))
