@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import chat, decontamination, jaccard, language, middle, neighbours, packing, pages, rules, substrings, toxicity
+from tickerloom.llm import bond, chat, decontamination, jaccard, language, middle, neighbours, packing, pages, rules, substrings, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
 from tickerloom.session import small_side
 
@@ -227,3 +227,24 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(middle.restore(), 256).alias("restored_sha256"))
+
+
+OP11_SQL = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) AS place
+      FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS rank,
+             s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(bond.usable("vec_id", "label", "embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), bond.quantised("embedding").alias("vector"))
+    return bond.mine(vectors, F.col("vec_id") % 50 == 0)
