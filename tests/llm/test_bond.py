@@ -102,7 +102,8 @@ def test_unusable_components(spark):
 
 
 def test_query_relabels_every_seventh(spark, tmp_path):
-    rows = [(i, i % 3, [((i * 37 + k * 11) % 50 - 20) / 64 for k in range(6)]) for i in range(200)]
+    rng = random.Random(8)
+    rows = [(i, i % 3, [rng.randrange(-100, 100) / 128 for _ in range(6)]) for i in range(200)]
     spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     whole = [(i, (lab + 1) % 10 if i % 7 == 0 else lab, [int(np.floor(256 * x)) for x in v]) for i, lab, v in rows]
     got = sorted(tuple(r) for r in queries.QUERIES["op11_hard_negatives"](spark, str(tmp_path)).collect())
