@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tickerloom.llm import bond, chat, decontamination, jaccard, language, middle, neighbours, packing, pages, rules, substrings, toxicity
+from tickerloom.llm import bond, chat, decontamination, jaccard, language, middle, neighbours, packing, pages, rules, substrings, suffixes, toxicity
 from tickerloom.llm.arrow import hashed_part, map_batches
 from tickerloom.session import small_side
 
@@ -248,3 +248,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = rows.select("vec_id", label.alias("label"), bond.quantised("embedding").alias("vector"))
     return bond.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("bigint").alias("n_spans"),
+                          F.sha2("clean_bytes", 256).alias("kept_sha256"))

@@ -78,6 +78,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(out)
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of weighted bytes before each place, factors that make a difference of sums independent of its place)."""
+    _grow(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[:len(data)], out=sums[1:])
+    return sums, _inverse[:len(data) + 1]
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` words; entry i starts at word i. Rows are not separated."""
     count = len(words) - width + 1
