@@ -77,20 +77,21 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("width, hot", [(50, 4096), (50, 2), (20, 4096), (8, 30)])
+@pytest.mark.parametrize("width, hot", [(50, 1 << 16), (50, 2), (20, 5), (8, 30)])
 def test_equals_plain_reference(spark, monkeypatch, width, hot):
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 3000)  # many buckets and shards
     monkeypatch.setattr(suffixes, "SHARD_ENTRIES", 100)
     monkeypatch.setattr(suffixes, "SHARD_BYTES", 5000)
     rows = passages(width)
-    if hot != 4096:  # an anchor with very many places is dealt by windows
-        rows += [(100 + i, " " * 70 + str(i) + " " * 90 + "-" * (i % 7)) for i in range(60 * 4096 // 4096)]
+    monkeypatch.setattr(suffixes, "HOT", hot)  # anchors with more places are dealt by windows
+    rows += [(100 + i, " " * 70 + str(i) + " " * 90 + "-" * (i % 7)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id int, text string")
     got = found(suffixes.remove_repeats(df, width))
     assert got == by_hand(rows, width) and sum(r[2] for r in got) > 0
 
 
-def test_hot_anchors_are_dealt_by_windows(spark):
+def test_hot_anchors_are_dealt_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 4096)
     # One gram of 16 blanks stands in more places than HOT, with different bytes on both sides.
     rng = random.Random(2)
     letters = "abcdefghij"

@@ -250,7 +250,22 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bond.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
-@query("op12_suffix_dedup")
+# Windows of 50 bytes as hex digits, cut from parts of a text so that substr stays cheap.
+OP12_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, k * 256 AS base, substr(h, k * 512 + 1, 610) AS part, least(255, length(h) // 2 - 50 - k * 256) AS top
+      FROM (SELECT doc_id, h, unnest(generate_series(0, (length(h) // 2 - 50) // 256)) AS k FROM d WHERE length(h) >= 100)),
+w AS (SELECT doc_id, base + j AS i, md5_number(substr(part, 2 * j + 1, 100)) AS c FROM (SELECT doc_id, base, part, unnest(generate_series(0, top)) AS j FROM p)),
+f AS (SELECT c, min(doc_id) AS m FROM w GROUP BY c HAVING count(*) > 1),
+v AS (SELECT w.doc_id, i, CASE WHEN i - lag(i) OVER o > 50 THEN 1 ELSE 0 END AS gap FROM w JOIN f USING (c) WHERE m < w.doc_id WINDOW o AS (PARTITION BY w.doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(gap) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM v) GROUP BY doc_id, nth),
+g AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE concat(array_to_string(list_transform(generate_series(1, n),
+              lambda q: substr(h, CASE WHEN q = 1 THEN 1 ELSE 2 * b[q - 1] + 1 END, 2 * (a[q] - CASE WHEN q = 1 THEN 0 ELSE b[q - 1] END))), ''), substr(h, 2 * b[n] + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op12_suffix_dedup", OP12_SQL)
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("bigint").alias("n_spans"),

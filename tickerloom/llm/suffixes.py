@@ -17,19 +17,17 @@ from tickerloom.session import ship_package, small_side
 #: Bytes of a window by default, and of the grams among which a window's anchor is chosen.
 WIDTH, GRAM = 50, 16
 #: Text that is worked on at once, text of one bucket of documents, anchors that meet in a shard, segments that meet in a shard.
-PIECE_BYTES, BUCKET_BYTES, SHARD_ENTRIES, SHARD_BYTES = 1 << 20, 4 << 20, 400_000, 32 << 20
+PIECE_BYTES, BUCKET_BYTES, SHARD_ENTRIES, SHARD_BYTES = 1 << 17, 4 << 20, 400_000, 32 << 20
 #: Transforms that the segments of a shard are dealt to.
-TRANSFORMS = 32
+TRANSFORMS = 64
 #: (anchor, bucket) pairs that a task holds before it writes them out.
 FLUSH = 400_000
 #: An anchor with more places than this is dealt by whole windows, so that no shard gets all of its places.
-HOT = 4096
-#: First symbols compared by one sort; each later sort doubles them.
-PACKED = 8
+HOT = 1 << 16
 PLACES = "key bigint, low binary, buckets binary, weights binary"
 TOLD = "key bigint, codes binary, hot binary"
-SEGMENTS = "key bigint, bucket bigint, bytes binary, sizes binary, subs binary, hot binary, least binary, greatest binary"
-RUNS = "key bigint, codes binary, starts binary, ends binary, ids binary, hot binary"
+SEGMENTS = "key bigint, bucket bigint, bytes binary, sizes binary, subs binary, hot binary, least binary, greatest binary, anchors binary"
+RUNS = "key bigint, codes binary, starts binary, ends binary, ids binary, hot binary, anchors binary"
 RESULTS = ["n_bytes", "n_removed", "span_starts", "span_ends", "clean_bytes"]
 
 
@@ -105,60 +103,99 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[where + np.arange(len(where))]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of at least their first `depth` symbols (numbers below 256), by prefix doubling."""
+def suffix_order(text: np.ndarray, depth: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffixes in the order of at least their first `depth` symbols (numbers below 256), by prefix doubling.
+
+    Keys and places share a number as long as both fit, so that plain numbers are sorted. Also returns, of
+    the symbols that the first sort compares, but at most `lead`: all of them and all but the last as a
+    number for each place in the text, and how many they are.
+    """
     n = len(text)
-    wide = np.append(text, np.zeros(PACKED, text.dtype)).astype(np.uint64)
+    bits = np.uint64(max(n, 1).bit_length())
+    used = np.zeros(256, bool)
+    used[text] = True
+    used[0] = True
+    code = (np.cumsum(used) - 1).astype(np.uint64)
+    size = np.uint64(max(int(code[-1]).bit_length(), 1))
+    known = max(1, (64 - int(bits)) // int(size))
+    wide = np.append(code[text], np.zeros(known, np.uint64))
     key = np.zeros(n, np.uint64)
-    for j in range(PACKED):
-        key = key << np.uint64(8) | wide[j:j + n]
-    known = PACKED
+    for j in range(known):
+        if j == min(known, lead) - 1:
+            short = key.copy()
+        key <<= size
+        key |= wide[j:j + n]
+        if j == min(known, lead) - 1:
+            full = key.copy()
+    lead = min(known, lead)
+    place, mask = np.arange(n, dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1)
+    fits = True
     while True:
-        order = np.argsort(key)
+        if fits:
+            key <<= bits
+            key |= place
+            key.sort()
+            order = (key & mask).astype(np.int32)
+            key >>= bits
+        else:
+            order = np.argsort(key).astype(np.int32)
+            key = key[order]
         if known >= depth:
-            return order
-        ranked = key[order]
-        rank = np.empty(n + known, np.uint64)
-        rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])).astype(np.uint64)
-        rank[n:] = 0
-        key = rank[:n] * np.uint64(n + 1) + rank[known:]
-        known *= 2
+            return order, full, short, lead
+        rank = np.zeros(n + known, np.uint32)
+        rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1]), dtype=np.uint32)
+        key = rank[:n].astype(np.uint64)
+        key <<= bits
+        key |= rank[known:]
+        known, fits = 2 * known, 3 * int(bits) <= 64
 
 
 def equal_windows(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, whether each one shares its first `width` symbols with the one before it).
 
     Zeros in the text are ends, different from everything. Common prefixes are derived from the
-    Burrows-Wheeler transform by increasing length, without looking at the text again. At length 0, suffixes
-    with different first symbols are parted. A bound between two intervals of length k, extended
+    Burrows-Wheeler transform by increasing length, without looking at the text again; the first few lengths are
+    read from the symbols that the first sort packs together. A bound between two intervals of length k, extended
     backward by a symbol, parts the two neighbours of length k + 1 whose images (places after the removal of their first
     symbol) lie on both sides of it. All bounds of one length are extended at once, and the search stops at
     `width`: intervals that are not parted by then are equal windows.
     """
     n = len(text)
-    order = suffix_order(text, width + 2)
+    order, full, short, lead = suffix_order(text, width + 2, width)
+    ended = np.append(text == 0, np.ones(lead, bool))
+    early = np.zeros(n, bool)  # an end among the first lead - 1 symbols
+    for j in range(lead - 1):
+        early |= ended[j:j + n]
+
+    def bounds(heads: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        heads = heads[order]
+        return np.append(True, heads[1:] != heads[:-1]) | cut[order]
+
+    parted = bounds(full, early | ended[lead - 1:lead - 1 + n])
+    fresh = parted & ~bounds(short, early)
     place = np.empty(n + 1, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
     place[n] = 0
-    head = text[order]
-    parted = np.append(True, head[1:] != head[:-1]) | (head == 0)
-    image = place[order + 1]
-    waiting = np.flatnonzero(~parted)
-    left, right = image[waiting - 1], image[waiting]
-    # Suffixes that are equal in all compared symbols can be in either order.
+    # Bounds to come: those not parted yet. Suffixes that are equal in all compared symbols can be in either order.
+    later = np.flatnonzero(~parted)
+    left, right = place[order[later - 1] + 1], place[order[later] + 1]
     left, right = np.minimum(left, right), np.maximum(left, right)
-    fresh = parted
-    for _ in range(1, width):
-        if not len(waiting):
-            break
-        count = np.cumsum(fresh, dtype=np.int32)
-        hit = count[left] != count[right]
-        fresh = np.zeros(n, bool)
-        fresh[waiting[hit]] = True
-        parted |= fresh
-        waiting, left, right = waiting[~hit], left[~hit], right[~hit]
-        if not hit.any():
+    count = np.cumsum(fresh, dtype=np.int32)
+    fresh = count[left] != count[right]
+    # From here on only bounds to come become bounds, so places are counted among them.
+    among = np.cumsum(~parted, dtype=np.int32)
+    left, right = among[left], among[right]
+    for _ in range(lead, width):
+        if not fresh.any():
             break
+        parted[later[fresh]] = True
+        count = np.append(np.int32(0), np.cumsum(fresh, dtype=np.int32))
+        stay = np.flatnonzero(~fresh)
+        later, left, right = later[stay], left[stay], right[stay]
+        among = np.cumsum(~fresh, dtype=np.int32)
+        fresh = count[left] != count[right]
+        among = np.append(np.int32(0), among)
+        left, right = among[left], among[right]
     return order, ~parted
 
 
@@ -179,6 +216,13 @@ def first_ids(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, width: int)
     return segment[windows], first[windows]
 
 
+def spread_out(kinds: np.ndarray, keys: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """For each of the kinds, the data of its items as one binary value; items are in the order of their keys."""
+    ends = np.append(0, np.cumsum(sizes))
+    bounds = np.append(ends[np.searchsorted(keys, kinds)], ends[-1]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def kept_docs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, which ids are there, bytes, offsets) of a bucket."""
     ids = table.column("doc_id").combine_chunks()
@@ -288,7 +332,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         return pa.table([pa.array(kinds), *cols], names=["key", "codes", "hot"])
 
     def send_segments(docs_: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("key", pa.int64()), ("bucket", pa.int64()), *((n, pa.binary()) for n in ("bytes", "sizes", "subs", "hot", "least", "greatest"))])
+        schema = pa.schema([("key", pa.int64()), ("bucket", pa.int64()), *((n, pa.binary()) for n in ("bytes", "sizes", "subs", "hot", "least", "greatest", "anchors"))])
         if not docs_.num_rows or not told.num_rows:
             return schema.empty_table()
         bucket = docs_.column("bucket")[0].as_py()
@@ -301,29 +345,30 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             told_here = (known >= 0) & there[piece.row]
             runs = np.flatnonzero(told_here & ~hot[known])
             start, end = piece.first[runs], piece.last[runs] + width
-            found.append((piece.hashes(start, end), piece.anchor[runs], ids[piece.row[runs]], start + piece.base, end - start, np.zeros(len(runs), np.uint8)))
+            found.append((piece.hashes(start, end), piece.anchor[runs], ids[piece.row[runs]], start + piece.base, end - start,
+                          np.zeros(len(runs), np.uint8), piece.anchor[runs]))
             start, runs = single_windows(piece, np.flatnonzero(told_here & hot[known]))
             if len(start):
                 own = piece.hashes(start, start + width)
-                found.append((own, own, ids[piece.row[runs]], start + piece.base, np.full(len(start), width), np.ones(len(start), np.uint8)))
+                found.append((own, own, ids[piece.row[runs]], start + piece.base, np.full(len(start), width), np.ones(len(start), np.uint8), piece.anchor[runs]))
         if not found:
             return schema.empty_table()
-        code, route, who, start, length, single = (np.concatenate(x) for x in zip(*found, strict=True))
+        code, route, who, start, length, single, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(code):
             return schema.empty_table()
         order = np.lexsort((who, single, code))
-        code, route, who, start, length, single = (x[order] for x in (code, route, who, start, length, single))
+        code, route, who, start, length, single, anchor = (x[order] for x in (code, route, who, start, length, single, anchor))
         at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (single[1:] != single[:-1])))
         least, greatest = who[at], who[np.append(at[1:], len(code)) - 1]
-        route, start, length, single = route[at], start[at], length[at], single[at]
+        route, start, length, single, anchor = (x[at] for x in (route, start, length, single, anchor))
         key = (route % np.uint64(groups)).astype(np.int64)
         sub = (route // np.uint64(groups) % np.uint64(TRANSFORMS)).astype(np.uint8)
         order = np.argsort(key, kind="stable")
         kinds, cols = packed(key, [length.astype(np.uint16), sub, single, least, greatest])
-        total = np.add.reduceat(length[order], np.searchsorted(key[order], kinds))
-        bounds = np.append(0, np.cumsum(total)).astype(np.int32)
-        blob = pa.BinaryArray.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(bounds), pa.py_buffer(gathered(data, start[order], length[order]))])
-        return pa.table([pa.array(kinds), pa.array(np.full(len(kinds), bucket)), blob, *cols], schema=schema)
+        blob = spread_out(kinds, key[order], length[order], gathered(data, start[order], length[order]))
+        alone = order[single[order] == 1]
+        anchors = spread_out(kinds, key[alone], np.full(len(alone), 8), short_codes(anchor[alone], shards))
+        return pa.table([pa.array(kinds), pa.array(np.full(len(kinds), bucket)), blob, *cols, anchors], schema=schema)
 
     def first_places(table: pa.Table) -> pa.Table:
         data = unpacked(table, "bytes", np.uint8)[0]
@@ -332,6 +377,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         sub, single = unpacked(table, "subs", np.uint8)[0], unpacked(table, "hot", np.uint8)[0]
         least, greatest = unpacked(table, "least", np.int64)[0], unpacked(table, "greatest", np.int64)[0]
         bucket = np.repeat(table.column("bucket").to_numpy(), counts)
+        anchor = np.zeros(len(size), np.uint64)
+        anchor[single == 1] = unpacked(table, "anchors", np.uint64)[0]
         start = np.cumsum(size) - size
         code = segment_hashes(data, start, size)
         out: list[tuple[np.ndarray, ...]] = []
@@ -353,10 +400,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             entry = np.repeat(own, many)
             told = first[run[pick]] < greatest[entry]
             pick, entry = pick[told], entry[told]
-            out.append((bucket[entry], code[entry], begin[pick].astype(np.uint16), stop[pick].astype(np.uint16), first[run[pick]], single[entry]))
-        key, *cols = (np.concatenate(x) for x in zip(*out, strict=True))
-        kinds, cols = packed(key, list(cols))
-        return pa.table([pa.array(kinds), *cols], names=["key", "codes", "starts", "ends", "ids", "hot"])
+            out.append((bucket[entry], code[entry], begin[pick].astype(np.uint16), stop[pick].astype(np.uint16), first[run[pick]], single[entry], anchor[entry]))
+        key, *cols, single, anchor = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(key, kind="stable")
+        alone = order[single[order] == 1]
+        kinds, cols = packed(key, [*cols, single])
+        anchors = spread_out(kinds, key[alone], np.full(len(alone), 8), anchor[alone])
+        return pa.table([pa.array(kinds), *cols, anchors], names=["key", "codes", "starts", "ends", "ids", "hot", "anchors"])
 
     def clean(docs_: pa.Table, told: pa.Table) -> pa.Table:
         ids, there, data, offsets = kept_docs(docs_) if docs_.num_rows else (*(np.zeros(0, np.int64),) * 3, np.zeros(1, np.int64))
@@ -364,6 +414,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         if told.num_rows and docs_.num_rows:
             codes, starts, ends, first, hot = (unpacked(told, n, k)[0] for n, k in (
                 ("codes", np.uint64), ("starts", np.uint16), ("ends", np.uint16), ("ids", np.int64), ("hot", np.uint8)))
+            anchors = np.unique(unpacked(told, "anchors", np.uint64)[0])
             for single in (0, 1):
                 own = np.flatnonzero(hot == single)
                 own = own[np.argsort(codes[own], kind="stable")]
@@ -372,7 +423,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 known = codes[own]
                 for piece in pieces(data, offsets, width):
                     if single:
-                        start, run = single_windows(piece, np.arange(len(piece.first)))
+                        start, run = single_windows(piece, np.flatnonzero(in_sorted(short_codes(piece.anchor, shards), anchors) >= 0))
                         code = piece.hashes(start, start + width)
                     else:
                         start, run = piece.first, np.arange(len(piece.first))
