@@ -59,9 +59,9 @@ def brute(points, k):
     return out
 
 
-@pytest.mark.parametrize("slab_rows", [8, 2048])
-def test_neighbours_with_many_copies(spark, slab_rows, monkeypatch):
-    monkeypatch.setattr(neighbours, "SLAB_ROWS", slab_rows)
+@pytest.mark.parametrize("cell_rows", [8, 2048])
+def test_neighbours_with_many_copies(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cell_rows)
     rng = np.random.default_rng(11)
     pts = {i: (np.array([1.0, 1.0]) if i % 3 == 0 else rng.normal(size=2).round(2)) for i in range(150)}
     df = spark.createDataFrame([(i, float(v[0]), float(v[1])) for i, v in pts.items()], "id long, a double, b double")
@@ -69,6 +69,35 @@ def test_neighbours_with_many_copies(spark, slab_rows, monkeypatch):
     assert got == brute(pts, 5)
 
 
+@pytest.mark.parametrize("kind, most", [("clusters", 0.2), ("normal", 0.9)])
+def test_neighbours_in_eight_columns_visit_few_cells(spark, monkeypatch, kind, most):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 32)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 8))
+    if kind == "clusters":
+        x = 0.2 * x + 3 * rng.normal(size=(40, 8))[rng.integers(0, 40, 2000)]
+    pts = dict(enumerate(x))
+    cols = [f"c{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, *v.tolist()) for i, v in pts.items()], "id long, " + ", ".join(f"{c} double" for c in cols))
+    rows, lists, cells = neighbours.neighbour_lists(df, cols, "id", 5)
+    assert cells == 64
+    assert lists.agg({"visited": "avg"}).first()[0] < most * cells
+    got = {r["id"]: [n["id"] for n in r["near"]] for r in neighbours.nearest(df, cols, "id", 5).collect()}
+    assert got == brute(pts, 5)
+
+
+def test_neighbours_of_few_rows(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0)], "id long, a double")
+    assert {r["id"]: [n["id"] for n in r["near"]] for r in neighbours.nearest(df, ["a"], "id", 5).collect()} == {1: [2], 2: [1]}
+    assert neighbours.nearest(df.where("false"), ["a"], "id", 5).count() == 0
+
+
+def test_smote_fills_all_smaller_classes(spark):
+    df = spark.range(100).selectExpr("id", "id * 1.0 as a", "case when id < 60 then 0 when id < 85 then 1 when id < 99 then 2 end as y")
+    sizes = neighbours.oversample(df, ["a"], "y", "id").where("y is not null").groupBy("y", "synthetic").count().collect()
+    assert {(r["y"], r["synthetic"]): r["count"] for r in sizes} == {(0, 0): 60, (1, 0): 25, (1, 1): 35, (2, 0): 14, (2, 1): 46}
+
+
 def test_smote_fills_the_smaller_class(spark):
     rng = np.random.default_rng(12)
     pdf = pd.DataFrame({"id": range(100), "a": rng.normal(size=100), "b": rng.normal(size=100), "y": [1] * 23 + [0] * 77})

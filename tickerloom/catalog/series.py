@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickerloom.catalog.bars import BY, FEATURE_STEPS, ORDER, W, rounded
-from tickerloom.catalog.news import STOPS_SQL, scored_news
+from tickerloom.catalog.bars import BY, FEATURE_STEPS, ORDER, W, roll_sql, rounded
+from tickerloom.catalog.news import SCORED, STOPS_SQL, scored_news
 from tickerloom.catalog.registry import query
 from tickerloom.functions.vectors import cosine
 from tickerloom.operators import garch, joins, neighbours, profile, rollup, scaling, stats, vectors, windows
 from tickerloom.plans import views
 from tickerloom.plans.views import sql
+from tickerloom.session import durable
 
 RETURNS = ("r", f"SELECT ticker, dt, close / lag(close) {W} - 1 AS ret, CAST(volume AS DOUBLE) AS volume FROM bars")
 
@@ -301,6 +302,35 @@ def smote_neighbours(spark, sf):
         "id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("n.id").alias("neighbour_id"), F.round("n.d", 6).alias("d"))
 
 
+LAGGED = {"close": "close_lag1", "high": "high_lag1", "volume": "volume_lag1", "ret": "daily_return_lag1", "vol": "volatility_lag1",
+          "s": "aggregate_sentiment_score_lag1", "svol": "sentiment_volatility_lag1"}
+ALL_POINTS = (
+    SCORED, ("a", "SELECT dt, sum(sentiment_score) AS s FROM scored GROUP BY dt"), ("m", "SELECT bars.*, s FROM bars JOIN a USING (dt)"),
+    ("r", f"SELECT *, open / lag(close) {W} - 1 AS gap, (close / lag(close) {W} - 1) * 100 AS ret FROM m"),
+    ("v", f"SELECT *, {roll_sql('stddev_samp', 'ret', 5)} AS vol, {roll_sql('stddev_samp', 's', 5)} AS svol FROM r"),
+    ("f", f"SELECT *, row_number() {W} AS pos, {', '.join(f'lag({c}) {W} AS {n}' for c, n in LAGGED.items())} FROM v"),
+    ("g", f"""SELECT date_diff('day', DATE '1990-01-01', dt) * 5 + CAST(substr(ticker, 1, 1) AS INT) - 1 AS id, CASE WHEN gap > 0 THEN 1 ELSE 0 END AS y,
+  {', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}' for c in windows.SENTIMENT_FEATURES)} FROM f WHERE pos > 12"""),
+    ("sm", "SELECT y FROM g GROUP BY y ORDER BY count(*) LIMIT 1"), ("mi", "SELECT * FROM g WHERE y = (SELECT y FROM sm)"))
+
+
+@query("smote_neighbours_all_features", sql("bars news_scores", *ALL_POINTS, ("d", f"""SELECT a.id, b.id AS neighbour_id,
+  sqrt({' + '.join(f'(a.{c} - b.{c}) ** 2' for c in windows.SENTIMENT_FEATURES)}) AS d FROM mi a JOIN mi b ON a.id <> b.id"""),
+       """SELECT id, rank, neighbour_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour_id) AS rank
+  FROM d) WHERE rank <= 5"""))
+def smote_neighbours_all_features(spark, sf):
+    """Neighbours in all eight scaled features of bars with sentiment."""
+    df = joins.join_pre_aggregated(views.bars(spark, sf), scored_news(spark, sf))
+    df = windows.baseline_features(df, BY, ORDER, sentiment=True)
+    day = F.date_diff("dt", F.lit("1990-01-01").cast("date")) * 5 + F.substring("ticker", 1, 1).cast("int") - 1
+    points = durable(scaling.scale(df.withColumn("id", day), windows.SENTIMENT_FEATURES).select("id", F.col("movement").alias("y"), *windows.SENTIMENT_FEATURES))
+    small = points.groupBy("y").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("y", "n")).scalar()
+    minority = points.withColumn("_small", small).where(F.col("y") == F.col("_small"))
+    near = neighbours.nearest(minority, windows.SENTIMENT_FEATURES, "id", 5)
+    return near.select("id", F.posexplode("near").alias("rank", "n")).select(
+        "id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("n.id").alias("neighbour_id"), F.round("n.d", 6).alias("d"))
+
+
 @query("smote_class_sizes", sql("bars", *POINTS, "SELECT y, (SELECT max(n) FROM (SELECT count(*) AS n FROM g GROUP BY y)) AS n FROM g GROUP BY y"))
 def smote_class_sizes(spark, sf):
     df = neighbours.oversample(labelled_points(spark, sf), ["gap", "ret", "vol"], "y", "id")
