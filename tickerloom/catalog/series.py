@@ -9,7 +9,7 @@ from tickerloom.catalog.bars import BY, FEATURE_STEPS, ORDER, W, roll_sql, round
 from tickerloom.catalog.news import SCORED, STOPS_SQL, scored_news
 from tickerloom.catalog.registry import query
 from tickerloom.functions.vectors import cosine
-from tickerloom.operators import garch, joins, neighbours, profile, rollup, scaling, stats, vectors, windows
+from tickerloom.operators import garch, garch_blocks, joins, neighbours, profile, rollup, scaling, stats, vectors, windows
 from tickerloom.plans import views
 from tickerloom.plans.views import sql
 from tickerloom.session import durable
@@ -138,7 +138,36 @@ def garch_forecast(spark, sf):
 
 @query("garch_compare")
 def garch_compare(spark, sf):
-    return garch.garch_compare(log_returns(spark, sf), "log_return", "dt", "ticker")
+    return garch_blocks.garch_compare(log_returns(spark, sf), "log_return", "dt", "ticker")
+
+
+PATHS = {"garch_variance_path": garch_blocks.Garch(0.0, 40.0, (0.08,), (0.9,)),
+         "garch_variance_path_22": garch_blocks.Garch(0.5, 60.0, (0.05, 0.04), (0.6, 0.2))}
+
+
+def path_sql(g):
+    """A recursion over the days; each row carries the last two variances and squared residuals."""
+    (a1, a2), (b1, b2) = (*g.alpha, 0.0)[:2], (*g.beta, 0.0)[:2]
+    body = sql("index_bars", ("r", "SELECT dt, 100 * (close / lag(close) OVER (ORDER BY dt) - 1) AS r FROM index_bars"),
+               ("i", f"SELECT dt, r, r - {g.mu}::DOUBLE AS e, row_number() OVER (ORDER BY dt) AS i FROM r WHERE r IS NOT NULL"),
+               ("w", "SELECT sum(pow(0.94::DOUBLE, i - 1) * e * e) / sum(pow(0.94::DOUBLE, i - 1)) AS s FROM i WHERE i <= 75"),
+               ("p", f"""SELECT CAST(0 AS BIGINT) AS i, s AS h1, s AS h2, s AS x1, s AS x2 FROM w UNION ALL
+  SELECT i.i, {g.omega}::DOUBLE + {a1}::DOUBLE * p.x1 + {a2}::DOUBLE * p.x2 + {b1}::DOUBLE * p.h1 + {b2}::DOUBLE * p.h2, p.h1, i.e * i.e, p.x1
+  FROM p JOIN i ON i.i = p.i + 1"""),
+               f"""SELECT dt, round(r, 6) AS r, round(h1, 6) AS cond_variance, round({g.omega}::DOUBLE + {a1}::DOUBLE * x1 + {a2}::DOUBLE * x2
+  + {b1}::DOUBLE * h1 + {b2}::DOUBLE * h2, 6) AS garch_cond_variance, round(e, 6) AS garch_residuals FROM i JOIN p USING (i)""")
+    return body.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def variance_path(name):
+    def run(spark, sf):
+        df = views.index_bars(spark, sf).withColumn("ret", windows.pct_change("close", [], ORDER))
+        return rounded(garch_blocks.variance_path(df, "ret", "dt", PATHS[name]), "r", "cond_variance", "garch_cond_variance", "garch_residuals")
+    return run
+
+
+for _name in PATHS:
+    query(_name, path_sql(PATHS[_name]))(variance_path(_name))
 
 
 # ---- vectors ----

@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.functions.dates import next_business_days
-from tickerloom.operators.rollup import panel_mean
 
 # Start of the variance recursion (decay, days), orders searched, forecast days.
 BACKCAST_DECAY, BACKCAST_DAYS = 0.94, 75
@@ -224,12 +223,3 @@ def garch_forecast(rows: DataFrame, models: DataFrame, by: Sequence[str] = ("ser
         *by, F.explode(F.arrays_zip(next_business_days("last_dt", days).alias("dt"), F.col("forecast"))).alias("f"))
     future = ahead.select(*by, F.col("f.dt").alias("dt"), F.col("f.forecast").alias("forecasted_volatility"))
     return rows.unionByName(future, allowMissingColumns=True)
-
-
-def garch_compare(df: DataFrame, c: str, date_col: str, by: str, scale: float = 100.0,
-                  orders: Sequence[tuple[int, int]] = tuple(ORDERS)) -> DataFrame:
-    """AIC and log-likelihood: GARCH(1,1) on the panel mean, and the best order per series."""
-    pooled = garch_models(panel_mean(df, c, [date_col], scale), c, date_col, scale=1.0)
-    best = garch_select(garch_models(df, c, date_col, [by], orders, scale=scale), [by])
-    one = pooled.select(F.lit("All").alias(by), "p", "q", "aic", "loglik")
-    return one.unionByName(best.select(by, "p", "q", "aic", "loglik"))
