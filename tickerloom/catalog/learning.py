@@ -11,9 +11,10 @@ from tickerloom.catalog.evaluation import CLASS, CONF, ROUND, TRADE
 from tickerloom.catalog.news import ARTICLE_STEPS, scored_news
 from tickerloom.catalog.registry import query
 from tickerloom.functions import prompts
-from tickerloom.operators import folds, joins, metrics, models, windows
+from tickerloom.operators import folds, joins, logistic_grid, metrics, models, scaling, windows
 from tickerloom.plans import baseline, multimodal, prompting, views
 from tickerloom.plans.views import sql
+from tickerloom.session import durable
 from tickerloom.sources.writers import prediction_records
 
 # ---- prompts and answers ----
@@ -177,6 +178,67 @@ def sentiment_report(spark, sf):
     return rounded(baseline.evaluate(views.index_bars(spark, sf), scored_news(spark, sf)), *ROUND)
 
 
+# With a free intercept, the mean probability of the training rows equals the share of ups, whatever the penalty.
+GRID_STEPS = (("g", """SELECT dt, open / lag(close) OVER (ORDER BY dt) - 1 AS gap, row_number() OVER (ORDER BY dt) - 8 AS i FROM index_bars"""),
+              ("r", "SELECT i, CASE WHEN gap > 0 THEN 1 ELSE 0 END AS y, CAST(floor((count(*) OVER () + 0.0) / 4) AS BIGINT) AS part, count(*) OVER () AS n FROM g WHERE i >= 0"),
+              ("s", "SELECT CAST(f AS INT) AS fold, count(*) AS n_train, avg(y) AS share FROM r, range(1, 4) t(f) WHERE i < n - 3 * part + (f - 1) * part GROUP BY f"),
+              ("p", "SELECT unnest(['l1', 'l2']) AS penalty"), ("c", "SELECT unnest([0.001, 0.01, 0.1, 1.0]::DOUBLE[]) AS c"))
+
+
+def grid_fits(spark, sf):
+    """(feature table in three folds, fits of the whole grid on the rows before each fold)."""
+    table = durable(baseline.feature_table(views.index_bars(spark, sf), k=3))
+    wanted = [logistic_grid.Fit(f, penalty, c) for f in range(1, 4) for penalty, c in models.GRID]
+    return table, logistic_grid.fit_grid(table, windows.BASE_FEATURES, "movement", wanted)
+
+
+def on_training_rows(spark, sf, table, fits, sums):
+    """One row per fit with `sums` (named columns made from a probability) of its training rows, from one aggregate."""
+    cells = []
+    for f in fits:
+        seen = logistic_grid.before("fold", f.fold)
+        p = logistic_grid.probability(f, windows.BASE_FEATURES)
+        named = {n: c for n, c in sums(f, p, seen).items()}
+        cells.append(F.struct(F.lit(f.fold).alias("fold"), F.lit(f.penalty).alias("penalty"), F.lit(f.c).alias("c"), *[c.alias(n) for n, c in named.items()]))
+    return table.agg(F.array(*cells).alias("f")).select(F.inline("f"))
+
+
+@query("grid_mean_probability", sql("index_bars", *GRID_STEPS, """SELECT fold, penalty, c, n_train, round(share, 5) AS mean_probability FROM s, p, c"""))
+def grid_mean_probability(spark, sf):
+    table, fits = grid_fits(spark, sf)
+    return on_training_rows(spark, sf, table, fits, lambda f, p, seen: {
+        "n_train": F.count(F.when(seen, 1)), "mean_probability": F.round(F.avg(F.when(seen, p)), 5)})
+
+
+@query("grid_optimality", sql("index_bars", *GRID_STEPS, """SELECT fold, penalty, c, n_train, round(n_train * share, 3) AS up_rows, CAST(0 AS DOUBLE) AS intercept_gradient, CAST(6 AS BIGINT) AS optimal_columns FROM s, p, c"""))
+def grid_optimality(spark, sf):
+    """Gradients of the returned fits, summed anew over the training rows by column expressions."""
+    table, fits = grid_fits(spark, sf)
+
+    def sums(f, p, seen):
+        off = F.when(seen, p - F.col("movement"))
+        good = []
+        for i, c in enumerate(windows.BASE_FEATURES):
+            g = f.c * F.sum(off * (F.col(c).cast("double") - f.mean[i]) / f.std[i])
+            w = f.coef[i]
+            if f.penalty == "l2":
+                good.append(F.abs(g + w) < 1e-4)
+            else:
+                good.append(F.abs(g + (1.0 if w > 0 else -1.0)) < 1e-4 if w else F.abs(g) < 1.0001)
+        return {"n_train": F.count(F.when(seen, 1)), "up_rows": F.round(F.sum(F.when(seen, F.col("movement"))).cast("double"), 3),
+                "intercept_gradient": F.abs(F.round(F.sum(off), 3)), "optimal_columns": sum((x.cast("bigint") for x in good), F.lit(0).cast("bigint"))}
+
+    return on_training_rows(spark, sf, table, fits, sums)
+
+
+@query("grid_scores")
+def grid_scores(spark, sf):
+    """F1 of each penalty and strength on each inner fold."""
+    table = durable(scaling.scale(baseline.feature_table(views.index_bars(spark, sf), k=3), windows.BASE_FEATURES))
+    _, scores = models.grid_search(table, windows.BASE_FEATURES, "movement", "row_id")
+    return rounded(scores, "f1")
+
+
 @query("tuned_report")
 def tuned_report(spark, sf):
     return rounded(baseline.evaluate_tuned(views.index_bars(spark, sf)), *ROUND)

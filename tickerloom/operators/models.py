@@ -1,7 +1,7 @@
 """Classifiers on feature tables: per-fold training, tuning, probabilities per test row.
 
 Input needs `fold` (see folds.py), a 0/1 label and numeric features, or one vector column.
-Each fit is a distributed Spark ML job.
+Logistic regressions of all folds and penalties share their scans (logistic_grid.py); other fits are Spark ML jobs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.functions.vectors import as_doubles
-from tickerloom.operators import balance, folds, metrics, neighbours, scaling
+from tickerloom.operators import balance, folds, logistic_grid, neighbours, scaling
+from tickerloom.operators.logistic_grid import EVERYTHING, Fit
 from tickerloom.operators.rollup import union_tables
 from tickerloom.session import durable
 
@@ -71,9 +72,13 @@ def folds_scored(df: DataFrame, features: Sequence[str], label: str, k: int, kee
 
     The feature table is checkpointed once, since every fold reads it, and so are the
     scored rows, since reports read them several times. Scaling is fitted on the
-    (resampled) training rows.
+    (resampled) training rows. Without an estimator it is a logistic regression, and all folds are fitted in the same
+    scans (see logistic_grid.py) unless they are resampled.
     """
     table = durable(df)
+    if estimator is None and resample is None:
+        fits = logistic_grid.fit_grid(table, features, label, [Fit(f, "l2", PENALTY_C) for f in range(1, k + 1)])
+        return durable(logistic_grid.scored(table, fits, features, label, keep))
     make = estimator or (lambda n: logistic(n, label=label))
 
     def one(f: int) -> DataFrame:
@@ -100,53 +105,41 @@ def vector_folds_scored(df: DataFrame, vector: str, label: str, k: int, keep: Se
     return durable(union_tables(side_by_side(one, range(1, k + 1))))
 
 
-def f1_of(model, rows: DataFrame, label: str) -> float:
-    hits = metrics.confusion(model.transform(rows).select(F.col(label).alias("y_true"), F.col("prediction").cast("int").alias("y_pred")))
-    return metrics.class_metrics(hits).first()["f1"]
+def grid_search(train: DataFrame, features: Sequence[str], label: str, date_order: str, extra: DataFrame | None = None,
+                k: int = folds.TUNING_FOLDS, grid: Sequence[tuple[str, float]] = tuple(GRID)) -> tuple[Fit, DataFrame]:
+    """The best penalty by mean F1 over expanding inner folds, fitted on all rows, and the table of all scores.
 
-
-def grid_search(train: DataFrame, label: str, date_order: str, extra: DataFrame | None = None, k: int = folds.TUNING_FOLDS,
-                grid: Sequence[tuple[str, float]] = tuple(GRID)) -> tuple[LogisticRegression, DataFrame]:
-    """Best penalty by mean F1 over expanding inner folds, and the table of all scores.
-
-    train: assembled real rows, in order of the integer column `date_order`. extra:
-    synthetic rows, which join every inner training part but are never validated on.
-    Fits of the grid run side by side as separate jobs.
+    train: real rows with scaled features, in order of the integer column `date_order`. extra:
+    synthetic rows, which join every inner training part but are never validated on. All fits of the grid
+    and all folds share every scan of the rows; one more scan validates all of them.
     """
-    inner = durable(folds.with_size(train, []).withColumn(
-        "fold", folds.fold_of(F.col(date_order), F.col("_size"), k)).select("features", label, "fold"))
-    more = None if extra is None else durable(extra.select("features", label))
-
-    def fit_rows(f: int) -> DataFrame:
-        real = folds.train_rows(inner, f).select("features", label)
-        return real if more is None else real.unionByName(more)
-
-    sizes = {f: fit_rows(f).count() for f in range(1, k + 1)}
-
-    def attempt(task: tuple[int, tuple[str, float]]) -> tuple:
-        f, (penalty, c) = task
-        model = logistic(sizes[f], c, penalty, label).fit(fit_rows(f))
-        return penalty, c, f, f1_of(model, folds.test_rows(inner, f), label)
-
-    tried = side_by_side(attempt, product(range(1, k + 1), grid))
+    inner = folds.with_size(train, []).withColumn("fold", folds.fold_of(F.col(date_order), F.col("_size"), k))
+    rows = inner.select(*features, label, "fold", F.lit(True).alias("real"))
+    if extra is not None:
+        rows = rows.unionByName(extra.select(*features, label, F.lit(None).cast("int").alias("fold"), F.lit(False).alias("real")))
+    rows = durable(rows)
+    wanted = [Fit(f, penalty, c) for f in range(1, k + 1) for penalty, c in grid]
+    fits = logistic_grid.fit_grid(rows, features, label, wanted, scale=False)
+    f1 = logistic_grid.validated(rows, fits, features, label, real="real")
+    tried = [(f.penalty, f.c, f.fold, v) for f, v in zip(fits, f1, strict=True)]
     scores = train.sparkSession.createDataFrame(tried, "penalty string, c double, fold int, f1 double")
     mean = {g: sum(t[3] for t in tried if t[:2] == g) / k for g in grid}
     penalty, c = max(grid, key=lambda g: mean[g])
-    everything = inner.select("features", label) if more is None else inner.select("features", label).unionByName(more)
-    return logistic(everything.count(), c, penalty, label).fit(everything), scores
+    (best,) = logistic_grid.fit_grid(rows, features, label, [Fit(EVERYTHING, penalty, c)], scale=False)
+    return best, scores
 
 
 def tuned_folds_scored(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str], id_col: str,
                        k: int = folds.TUNING_FOLDS) -> tuple[DataFrame, DataFrame]:
-    """Per outer fold: scale, oversample the smaller class, tune, score the fold."""
+    """Per outer fold: scale, oversample the smaller classes, tune, score the fold."""
     table = durable(df)
 
     def one(f: int) -> tuple[DataFrame, DataFrame]:
         train, test = folds.train_rows(table, f), folds.test_rows(table, f)
         real = durable(scaling.scale(train, features).select(*features, label, id_col))
-        extra = durable(neighbours.smote(real, features, label, id_col).select(*features, label))
-        model, grid = grid_search(assembled(real, features), label, id_col, assembled(extra, features))
-        out = scored(model, assembled(scaling.scale(test, features, train), features), label, keep)
+        extra = neighbours.smote(real, features, label, id_col).select(*features, label)
+        model, grid = grid_search(real, features, label, id_col, extra)
+        out = logistic_grid.scored(scaling.scale(test, features, train), [model], features, label, keep)
         return out, grid.withColumn("outer_fold", F.lit(f))
 
     parts, grids = zip(*side_by_side(one, range(1, k + 1)))
