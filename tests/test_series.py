@@ -112,12 +112,68 @@ def test_granger_against_regressions(spark):
     assert decision.loc[("y", "x"), "first_lag"] == 1
 
 
-def test_pacf_solves_yule_walker():
-    r = np.array([1.0, 0.6, 0.3, 0.2, 0.05])
-    got = stats.partial_autocorrelations(r)
-    for k in range(1, 5):
-        m = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
-        assert np.isclose(got[k], np.linalg.solve(m, r[1:k + 1])[-1])
+def test_pacf_solves_yule_walker(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(s, i, float(v)) for s in "ab" for i, v in enumerate(np.cumsum(rng.normal(size=60)))], "s string, i int, x double")
+    r = stats.acf(df, "x", 6, ["s"], ["i"]).toPandas().sort_values("lag").groupby("s")["acf"].apply(list)
+    got = stats.pacf(df, "x", 6, ["s"], ["i"]).toPandas().sort_values("lag").groupby("s")["pacf"].apply(list)
+    for s in "ab":
+        assert len(got[s]) == 7 and got[s][0] == 1
+        for k in range(1, 7):
+            m = np.array([[r[s][abs(i - j)] for j in range(k)] for i in range(k)])
+            assert np.isclose(got[s][k], np.linalg.solve(m, r[s][1:k + 1])[-1])
+
+
+def test_products_of_any_rows_follow_from_lagged_sums(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i int, a double, b double")
+    sums = stats.lagged_sums(df, ["a", "b"], 3, [], ["i"])
+    design = [(0, 0), (1, 2), (0, 1), (1, 0), (0, 3)]
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(k).alias("lag")) for c, k in design])
+    for first in (3, 5):
+        z = np.column_stack([x[first - k:12 - k, c] for c, k in design])
+        got = stats.lagged_sums(df, ["a", "b"], 5, [], ["i"]).select(stats.gram(cells, F.lit(first), 2, 5).alias("g")).first()["g"]
+        assert np.allclose(np.array(got), z.T @ z)
+    m = sums.select(stats.eliminated(stats.gram(cells, F.lit(3), 2, 3), F.array(F.lit(1), F.lit(4))).alias("g")).first()["g"]
+    z = np.column_stack([x[3 - k:12 - k, c] for c, k in design])
+    rest = z - z[:, [1, 4]] @ np.linalg.lstsq(z[:, [1, 4]], z, rcond=None)[0]
+    assert np.allclose(np.array(m), rest.T @ rest)
+
+
+def unit_root_by_hand(x, maxlag):
+    """(statistic, lags, rows) of the regression with constant; maxlag None searches by AIC on a common sample."""
+    dx = np.diff(x)
+
+    def regression(lag, skip):
+        y = dx[skip:]
+        m = np.column_stack([np.ones(len(y)), x[skip:-1]] + [dx[skip - i:len(dx) - i] for i in range(1, lag + 1)])
+        coef = np.linalg.lstsq(m, y, rcond=None)[0]
+        return m, coef, float(((y - m @ coef) ** 2).sum()), len(y)
+
+    lag = maxlag
+    if maxlag is None:
+        top = min(int(np.ceil(12 * (len(x) / 100) ** 0.25)), len(x) // 2 - 2)
+        lag = min(range(top + 1), key=lambda k: regression(k, top)[3] * np.log(regression(k, top)[2] / regression(k, top)[3]) + 2 * (k + 2))
+    m, coef, ssr, n = regression(lag, lag)
+    return coef[1] / np.sqrt(ssr / (n - m.shape[1]) * np.linalg.inv(m.T @ m)[1, 1]), lag, n
+
+
+@pytest.mark.parametrize("maxlag", [0, 1, 4, None])
+def test_unit_root_equals_regressions(spark, maxlag):
+    rng = np.random.default_rng(12)
+    e = rng.normal(size=300)
+    cycle = np.zeros(300)
+    for t in range(4, 300):
+        cycle[t] = 0.5 * cycle[t - 1] - 0.3 * cycle[t - 4] + e[t]
+    kinds = {"walk": 1e6 + 1e3 * np.cumsum(e), "cycle": cycle, "few": e[:30]}
+    df = spark.createDataFrame([(s, i, float(v)) for s, x in kinds.items() for i, v in enumerate(x)], "s string, i int, x double")
+    got = {r["s"]: r for r in stats.adf(df, "x", ["s"], ["i"], maxlag).collect()}
+    for s, x in kinds.items():
+        tau, lag, n = unit_root_by_hand(x, maxlag)
+        assert (got[s]["used_lag"], got[s]["n"], got[s]["status"]) == (lag, n, "ok") and np.isclose(got[s]["statistic"], tau, rtol=1e-6)
+    (one,) = stats.adf(df.where("s = 'cycle'"), "x", [], ["i"], maxlag).collect()
+    assert np.isclose(one["statistic"], got["cycle"]["statistic"])
 
 
 def test_unit_root(spark):

@@ -55,9 +55,36 @@ def acf_squared_residuals(spark, sf):
     return rounded(stats.acf(df, "squared_residual", 30, BY, ORDER), "acf")
 
 
-@query("pacf")
+def pacf_steps(lags=30):
+    """Levinson's recursion, a step for each lag; r[1] is lag 0."""
+    steps = [("r0", "SELECT ticker, list(acf ORDER BY lag) AS r, []::DOUBLE[] AS phi, [1.0::DOUBLE] AS out FROM acf GROUP BY ticker")]
+    for k in range(1, lags + 1):
+        past = f"r[2:{k}]"
+        last = (f"(r[{k + 1}] - coalesce(list_dot_product(phi, list_reverse({past})), 0)) / (1 - coalesce(list_dot_product(phi, {past}), 0))" if k > 1 else "r[2]")
+        steps += [(f"l{k}", f"SELECT *, {last} AS last FROM r{k - 1}"),
+                  (f"r{k}", f"""SELECT ticker, r, list_append(list_transform(range(1, {k}), lambda q: phi[q] - last * phi[{k} - q]), last) AS phi,
+  list_append(out, last) AS out FROM l{k}""")]
+    return steps
+
+
+PACF_LAGS = 30
+
+
+@query("pacf", sql("bars", RETURNS, *acf_sql("r", "ret", PACF_LAGS)[:-1], ("acf", acf_sql("r", "ret", PACF_LAGS)[-1].replace("round(", "(").replace(", 6)", ")")),
+                   *pacf_steps(PACF_LAGS), f"SELECT ticker, CAST(unnest(range(0, {PACF_LAGS + 1})) AS INT) AS lag, round(unnest(out), 6) AS pacf FROM r{PACF_LAGS}"))
 def pacf(spark, sf):
-    return rounded(stats.pacf(returns(spark, sf), "ret", 30, BY, ORDER), "pacf")
+    return rounded(stats.pacf(returns(spark, sf), "ret", PACF_LAGS, BY, ORDER), "pacf")
+
+
+def elimination_steps(name, source, columns, out):
+    """Products of the columns per ticker, then one column after the other taken out of the rest; the first `out` of them."""
+    cells = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    steps = [(f"{name}0", "SELECT ticker, count(*) AS n, " + ", ".join(f"sum({columns[i]} * {columns[j]}) AS g{i}_{j}" for i, j in cells)
+              + f" FROM {source} GROUP BY ticker")]
+    for p in range(out):
+        cells = [(i, j) for i, j in cells if i > p]
+        steps.append((f"{name}{p + 1}", "SELECT ticker, n, " + ", ".join(f"g{i}_{j} - g{p}_{i} * g{p}_{j} / g{p}_{p} AS g{i}_{j}" for i, j in cells) + f" FROM {name}{p}"))
+    return steps
 
 
 @query("granger_lag1", sql("bars", RETURNS, ("c", f"""SELECT ticker, ret AS y, lag(ret) {W} AS y1, lag(volume) {W} AS x1
@@ -69,6 +96,30 @@ def granger_lag1(spark, sf):
     return df.select("ticker", F.col("df_denom").cast("bigint").alias("df_denom"), F.round("statistic", 6).alias("f"))
 
 
+def granger_sql(lags):
+    """F of all lags, for both directions between returns and volume; each regression is eliminated column by column."""
+    past = ", ".join(f"lag({c}, {k}) {W} AS {c}{k}" for c in ("ret", "vol") for k in range(1, max(lags) + 1))
+    steps = [("c", f"SELECT ticker, dt, 1.0::DOUBLE AS one, ret, (volume - avg(volume) OVER (PARTITION BY ticker)) AS vol FROM r WHERE ret IS NOT NULL"),
+             ("z", f"SELECT *, {past} FROM c")]
+    parts = []
+    for y, x in (("ret", "vol"), ("vol", "ret")):
+        for p in lags:
+            name = f"{y}{p}_"
+            columns = ["one", *(f"{y}{k}" for k in range(1, p + 1)), *(f"{x}{k}" for k in range(1, p + 1)), y]
+            steps += [(f"{name}z", f"SELECT * FROM z WHERE {y}{p} IS NOT NULL"), *elimination_steps(name, f"{name}z", columns, 2 * p + 1)]
+            last, full = f"g{2 * p + 1}_{2 * p + 1}", {"ret": "ret", "vol": "volume"}
+            parts.append(f"""SELECT ticker, '{full[y]}' AS effect, '{full[x]}' AS cause, CAST({p} AS INT) AS lag, f.n - {2 * p + 1} AS df_denom,
+  round((a.{last} / f.{last} - 1) / {p} * (f.n - {2 * p + 1}), 5) AS f FROM {name}{p + 1} a JOIN {name}{2 * p + 1} f USING (ticker)""")
+    return sql("bars", RETURNS, *steps, " UNION ALL ".join(parts))
+
+
+@query("granger_lags", granger_sql([2, 3, 4, 5]))
+def granger_lags(spark, sf):
+    df = stats.granger(returns(spark, sf), [("ret", "volume"), ("volume", "ret")], 5, BY, ORDER)
+    return df.where((F.col("test") == "ssr_ftest") & (F.col("lag") > 1)).select(
+        "ticker", "effect", "cause", "lag", F.col("df_denom").cast("bigint").alias("df_denom"), F.round("statistic", 5).alias("f"))
+
+
 @query("granger_tests")
 def granger_tests(spark, sf):
     tests = stats.granger(returns(spark, sf), [("ret", "volume"), ("volume", "ret")], 5, BY, ORDER)
@@ -100,6 +151,27 @@ def adf_lag0(spark, sf):
     return rounded(stats.adf(returns(spark, sf), "ret", BY, ORDER, maxlag=0).select("ticker", "n", "statistic"), "statistic")
 
 
+def adf_sql(lags):
+    past = ", ".join(f"lag(y, {k}) {W} AS y{k}" for k in range(1, max(lags) + 1))
+    steps = [("d", f"SELECT ticker, dt, 1.0::DOUBLE AS one, ret - lag(ret) {W} AS y, lag(ret) {W} AS x FROM r WHERE ret IS NOT NULL"),
+             ("z", f"SELECT *, {past} FROM d WHERE x IS NOT NULL")]
+    parts = []
+    for p in lags:
+        columns = ["one", *(f"y{k}" for k in range(1, p + 1)), "x", "y"]
+        steps += [(f"z{p}_", f"SELECT * FROM z WHERE {f'y{p}' if p else 'y'} IS NOT NULL"), *elimination_steps(f"e{p}_", f"z{p}_", columns, p + 1)]
+        x, y = p + 1, p + 2
+        parts.append(f"""SELECT ticker, CAST({p} AS INT) AS used_lag, n, round(g{x}_{y} / g{x}_{x}
+  / sqrt((g{y}_{y} - g{x}_{y} * g{x}_{y} / g{x}_{x}) / (n - {p + 2}) / g{x}_{x}), 6) AS statistic FROM e{p}_{p + 1}""")
+    return sql("bars", RETURNS, *steps, " UNION ALL ".join(parts))
+
+
+@query("adf_lags", adf_sql([0, 1, 2, 3]))
+def adf_lags(spark, sf):
+    df = returns(spark, sf)
+    found = [stats.adf(df, "ret", BY, ORDER, maxlag=p).select("ticker", "used_lag", "n", "statistic") for p in range(4)]
+    return rounded(rollup.union_tables(found), "statistic")
+
+
 @query("adf_tests")
 def adf_tests(spark, sf):
     return rounded(stats.adf(returns(spark, sf), "ret", BY, ORDER), "statistic", "p_value", "critical_1", "critical_5", "critical_10")
