@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +15,28 @@ from tickerloom.session import durable, ship_package
 
 #: Texts are worked on in blocks of about this many bytes, so that temporary arrays stay small.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a batch of rows that is sent to Python, about (or one row).
+BATCH_BYTES = 8 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the system, since a Python worker lives on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow with the package shipped to the executors."""
+    """mapInArrow with the package shipped to the executors, batches bounded by bytes, and memory given back after a task."""
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches):
-        for batch in batches:
-            yield from work(batch)
+        try:
+            for batch in batches:
+                yield from work(batch)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

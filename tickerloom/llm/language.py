@@ -141,7 +141,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
         return names[k], 1.0 - float(away[k]) / (length * len(top)), True
 
     def work(batch: pa.RecordBatch):
-        data, offsets = text_bytes(batch.column(len(keep)))
+        data, offsets = text_bytes(batch.column(text_at))
         for first, last in blocks_of(offsets):
             found = [best(data[offsets[i]:offsets[i + 1]]) for i in range(first, last)]
             lang, score, text = zip(*found, strict=True)
@@ -149,6 +149,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
                 [*(batch.column(c).slice(first, last - first) for c in range(len(keep))),
                  pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(text, pa.bool_())], names=[*keep, *results])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    # A kept text is sent once.
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text"))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("is_text", BooleanType())]
     return map_batches(rows, work, StructType([*rows.select(*keep).schema.fields, *fields]))
