@@ -16,11 +16,22 @@ END_ID = 2
 FEW_IDS = 400_000
 
 
+def set_apart(docs: DataFrame) -> DataFrame:
+    """The columns under names that no operator gives to its results, so that further columns of any name pass through."""
+    return docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])
+
+
+def named_back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(f"in_{c}").alias(c) for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters; lang becomes the predicted language, where one was learned."""
-    known = language.identify(docs, language.learn_profiles(docs), keep=docs.columns).where("is_text")
-    lang = F.when(F.col("lang_pred") != language.UNKNOWN, F.col("lang_pred")).otherwise(F.col("lang"))
-    return known.withColumn("lang", lang).select(docs.columns)
+    """Documents with letters; lang becomes the predicted language, where one was learned. Further columns stay as they are."""
+    rows = set_apart(docs)
+    profiles = language.learn_profiles(rows, "in_text", "in_lang", "in_doc_id")
+    known = language.identify(rows, profiles, "in_text", keep=rows.columns).where("is_text")
+    lang = F.when(F.col("lang_pred") != language.UNKNOWN, F.col("lang_pred")).otherwise(F.col("in_lang"))
+    return named_back(known.withColumn("in_lang", lang), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +51,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand in documents with smaller ids."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cleaned = substrings.remove_repeats(docs, keep=others)
-    return cleaned.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}).select(docs.columns)
+    """Texts without the passages that stand in documents with smaller ids. Further columns stay as they are."""
+    rows = set_apart(docs)
+    others = tuple(c for c in rows.columns if c not in ("in_doc_id", "in_text", "in_n_chars"))
+    cleaned = substrings.remove_repeats(rows, id_col="in_doc_id", text_col="in_text", keep=others)
+    texts = {"in_doc_id": F.col("doc_id"), "in_text": F.col("clean_text"), "in_n_chars": F.length("clean_text").cast("bigint")}
+    return named_back(cleaned.withColumns(texts), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
