@@ -71,3 +71,14 @@ def test_every_operator_has_a_query():
 def test_equals_sql(spark, name):
     ok, message, _ = compare(spark, connect(SF), name, queries.QUERIES[name], queries.CHECKS[name], SF)
     assert ok, message
+
+
+@pytest.mark.parametrize("stage", [k for k, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_further_columns(spark, hard_docs, stage):
+    names = ["score", "n_words", "lang_pred", "is_text", "clean_text", "n_removed", "rid", "bucket"]
+    docs = hard_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} of "), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    found = dict(corpus_pipeline.STAGES)[stage](spark, docs, "/root/testdata/sf0.001")
+    assert found.columns == docs.columns
+    given = {tuple(r[n] for n in names) for r in docs.collect()}
+    rows = found.collect()
+    assert rows and {tuple(r[n] for n in names) for r in rows} <= given
