@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickerloom.llm.arrow import blocks_of, text_bytes
+from tickerloom.llm.arrow import blocks_of, give_back, text_bytes
 from tickerloom.llm.words import mix, window_hashes, word_hashes
 from tickerloom.session import ship_package
 
@@ -239,13 +239,26 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                          pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
                         names=["doc_id", *extra, "clean_text", "n_words", "n_removed"])
 
+    def lean(work):
+        """The function of a group or two, with memory given back after each, since a worker handles many groups."""
+        def one(group: pa.Table) -> pa.Table:
+            out = work(group)
+            give_back()
+            return out
+
+        def two(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = work(left, right)
+            give_back()
+            return out
+        return two if work in (confirm, clean) else one
+
     told = (rows.select("bucket", "doc_id", "text").mapInArrow(send_anchors, ENTRIES)
-            .groupBy("key").applyInArrow(recurring_anchors, ENTRIES))
-    windows = rows.groupBy("bucket").cogroup(told.groupBy("key")).applyInArrow(confirm, WINDOWS)
-    places = windows.groupBy("key").applyInArrow(first_places, ENTRIES)
+            .groupBy("key").applyInArrow(lean(recurring_anchors), ENTRIES))
+    windows = rows.groupBy("bucket").cogroup(told.groupBy("key")).applyInArrow(lean(confirm), WINDOWS)
+    places = windows.groupBy("key").applyInArrow(lean(first_places), ENTRIES)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
     schema = "doc_id bigint, " + (kinds + ", " if kinds else "") + "clean_text string, n_words bigint, n_removed bigint"
-    return rows.groupBy("bucket").cogroup(places.groupBy("key")).applyInArrow(clean, schema).select(
+    return rows.groupBy("bucket").cogroup(places.groupBy("key")).applyInArrow(lean(clean), schema).select(
         "doc_id", *extra, "clean_text", "n_words", "n_removed")
 
 
