@@ -388,8 +388,8 @@ def fold_measures(spark, sf):
     return rounded(metrics.fold_measures(views.fold_volatility(spark, sf)), "volatility_sum", digits=4)
 
 
-@query("returns_for_rows", sql("predictions", """SELECT row_id, fold, y_pred, round(ret, 4) AS ret FROM predictions WHERE fold = 5"""))
+@query("returns_for_rows", sql("predictions", """SELECT row_id, fold, y_pred, round(ret, 4) AS ret FROM predictions WHERE fold IS NOT NULL"""))
 def returns_for_rows(spark, sf):
     p = views.predictions(spark, sf)
-    tests = folds.test_rows(p, 5).select("row_id", "fold", "y_pred")
+    tests = p.where(F.col("fold").isNotNull()).select("row_id", "fold", "y_pred")
     return rounded(joins.returns_for_rows(tests, p.select("row_id", "ret")), "ret", digits=4)

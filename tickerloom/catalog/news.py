@@ -134,13 +134,11 @@ def value_counts(spark, sf):
     return profile.value_counts(views.news(spark, sf), ["ticker"])
 
 
-@query("union_tickers", sql("bars", """SELECT ticker AS stock, dt, close FROM bars WHERE ticker = '1-URGENT' UNION ALL
-  SELECT ticker, dt, close FROM bars WHERE ticker = '5-LOW'"""))
+@query("union_tickers", sql("bars", "SELECT ticker AS stock, dt, close FROM bars"))
 def union_tickers(spark, sf):
+    """The bars of every ticker, each cut out, named by a constant and united again."""
     b = views.bars(spark, sf)
-    parts = [columns.with_constant(columns.filter_ticker(b, t).select("dt", "close"), "stock", t)
-             for t in ("1-URGENT", "5-LOW")]
-    return rollup.union_tables(parts)
+    return rollup.union_tables([columns.with_constant(columns.filter_ticker(b, t).select("dt", "close"), "stock", t) for t in views.TICKERS])
 
 
 @query("union_missing_columns", sql("bars news", """SELECT ticker, dt, close, NULL AS tag FROM bars UNION ALL

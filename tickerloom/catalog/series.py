@@ -282,13 +282,16 @@ def multimodal_rows(spark, sf):
     return scaling.scale(df, windows.SENTIMENT_FEATURES)
 
 
-@query("market_vector", sql("news_vectors index_bars", ("d", """SELECT DISTINCT dt FROM news_vectors"""),
-       """SELECT dt, 66 AS size, round(open, 2) AS first FROM d JOIN index_bars USING (dt)"""))
+@query("market_vector", sql("news_vectors index_bars", MEAN, ("d", "SELECT dt, lag(dt) OVER (ORDER BY dt) AS p FROM (SELECT DISTINCT dt FROM news_vectors)"),
+       ("g", "SELECT d.dt, d.p, open, close, i FROM d JOIN index_bars USING (dt), range(1, 65) t(i)"),
+       """SELECT g.dt, g.i + 1 AS pos, round(coalesce(m.x, 0), 6) AS x FROM g LEFT JOIN m ON m.dt = g.p AND m.i = g.i
+  UNION ALL SELECT dt, 0, round(open, 6) FROM g WHERE i = 1 UNION ALL SELECT dt, 1, round(close, 6) FROM g WHERE i = 1"""))
 def market_vector(spark, sf):
+    """All values: two prices, then the mean vector of the news date before."""
     dates = rollup.distinct_dates(views.news_vectors(spark, sf))
     df = joins.asof_prev_vector(views.news_vectors(spark, sf), "emb", 64).join(dates, "dt").join(views.index_bars(spark, sf), "dt")
     df = vectors.market_vector(df, ["open", "close"], "prev_day_embedding")
-    return df.select("dt", F.size("market_vector").alias("size"), F.round(F.get("market_vector", F.lit(0)), 2).alias("first"))
+    return df.select("dt", F.posexplode("market_vector").alias("pos", "x")).select("dt", F.col("pos").cast("bigint"), F.round("x", 6).alias("x"))
 
 
 @query("pca")
@@ -334,11 +337,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 @query("embed_texts", """WITH n AS (SELECT doc_id, lower(text) AS t FROM documents), """
        + "c AS (SELECT doc_id, " + ", ".join(f"length(t) - length(replace(t, '{x}', '')) AS {x}_" for x in LETTERS) + " FROM n), "
        + "s AS (SELECT *, " + " + ".join(f"{x}_" for x in LETTERS) + " AS total FROM c) SELECT doc_id AS news_id, "
-       + "round(a_ / greatest(total, 1), 5) AS a, round(e_ / greatest(total, 1), 5) AS e, round(z_ / greatest(total, 1), 5) AS z FROM s")
+       + ", ".join(f"round(CAST(CAST({x}_ / greatest(total, 1) AS FLOAT) AS DOUBLE), 5) AS {x}" for x in LETTERS) + " FROM s")
 def embed_texts(spark, sf):
     docs = views.news(spark, sf).select("news_id", "content")
     df = vectors.embed_texts(docs, "content", letter_share_encoder)
-    return df.select("news_id", *[F.round(F.get("emb", F.lit(LETTERS.index(x))).cast("double"), 5).alias(x) for x in "aez"])
+    return df.select("news_id", *[F.round(F.get("emb", F.lit(LETTERS.index(x))).cast("double"), 5).alias(x) for x in LETTERS])
 
 
 def list_sql(words):
