@@ -3,29 +3,85 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.numbers import clean_double
 from tickerloom.functions.tails import student_t_two_sided
 from tickerloom.functions.text import ENGLISH_STOP_WORDS, blank_tokens, words_of
-from tickerloom.operators.ordering import exact_quantiles, unpivot_metrics
-from tickerloom.session import join_on, small_side
+from tickerloom.operators.ordering import unpivot_metrics
+from tickerloom.session import durable, join_on, small_side
+
+#: Greatest error of a quantile sketch, distance of bounds from a wanted quantile (shares of the rows), and rows that are kept whole.
+ERROR, MARGIN, WHOLE = 1e-4, 5e-4, 10_000
 
 
 def value_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std, min, quartiles, max per column; one row per (by, metric)."""
+def moments_and_brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(values, marks): (by, metric, value) rows with their marks, and one stored row of marks per (by, metric), from one scan.
+
+    Marks are n, mean, std, min, max, and for each probability i the bounds lo_i and hi_i. The exact quantile, and
+    both values that it lies between, are inside: sketches are off by a share of ERROR of the rows at most, bounds
+    are MARGIN away, and groups of up to WHOLE rows are not narrowed at all.
+    """
     keys = [*by, "metric"]
-    moments = unpivot_metrics(df, cols, by).groupBy(*keys).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    marks = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
-    return join_on(moments, marks, keys).select(
+    values = unpivot_metrics(df, cols, by)
+    spots = [min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)]
+    marks = values.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"), F.percentile_approx("value", spots, round(1 / ERROR)).alias("_m"))
+    ends = {}
+    for i in range(len(probs)):
+        ends[f"lo_{i}"] = F.when(F.col("n") <= WHOLE, F.col("min")).otherwise(F.get("_m", F.lit(2 * i)))
+        ends[f"hi_{i}"] = F.when(F.col("n") <= WHOLE, F.col("max")).otherwise(F.get("_m", F.lit(2 * i + 1)))
+    marks = small_side(marks.withColumns(ends).drop("_m"))
+    return join_on(values, marks, keys), marks
+
+
+def quantile_cells(values: DataFrame, keys: Sequence[str], probs: int, kept: Column, *extra: Column) -> DataFrame:
+    """Rows per value inside a bracket, one row for all other values (value NULL), and how many are below each bracket."""
+    inside = reduce(or_, [F.col("value").between(F.col(f"lo_{i}"), F.col(f"hi_{i}")) for i in range(probs)]) | kept
+    below = [F.count(F.when(F.col("value") < F.col(f"lo_{i}"), 1)).alias(f"below_{i}") for i in range(probs)]
+    return values.groupBy(*keys, F.when(inside, F.col("value")).alias("v")).agg(F.count(F.lit(1)).alias("c"), *below, *extra)
+
+
+def picked(cells: DataFrame, marks: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The keys with the linearly interpolated quantiles q0, q1, ... from the cells of brackets."""
+    ordered, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
+    rows = join_on(cells, marks, keys)
+    new, picks, outs = {}, [], []
+    for i, p in enumerate(probs):
+        here = F.when(F.col("v").between(F.col(f"lo_{i}"), F.col(f"hi_{i}")), F.col("c")).otherwise(0)
+        new[f"_end{i}"] = F.sum(f"below_{i}").over(whole) + F.sum(here).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+        new[f"_here{i}"] = here
+    rows = rows.withColumns(new)
+    for i, p in enumerate(probs):
+        spot = F.lit(float(p)) * (F.col("n") - 1)
+
+        def value_at(rank: Column, i: int = i) -> Column:
+            held = (F.col(f"_end{i}") - F.col(f"_here{i}") <= rank) & (rank < F.col(f"_end{i}"))
+            return F.max(F.when(held & (F.col(f"_here{i}") > 0), F.col("v")))
+
+        picks += [value_at(F.floor(spot)).alias(f"_a{i}"), value_at(F.ceil(spot)).alias(f"_b{i}"), F.max(spot - F.floor(spot)).alias(f"_f{i}")]
+        outs.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(f"q{i}"))
+    return rows.groupBy(*keys).agg(*picks).select(*keys, *outs)
+
+
+def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """count, mean, std, min, quartiles, max per column; one row per (by, metric).
+
+    Two scans: the first gives moments and bounds of the quartiles, the second counts the values inside the bounds.
+    """
+    keys, probs = [*by, "metric"], [0.25, 0.5, 0.75]
+    values, marks = moments_and_brackets(df, cols, probs, by)
+    found = picked(quantile_cells(values, keys, len(probs), F.lit(False)), marks, keys, probs)
+    return join_on(marks, found, keys).select(
         *keys, "n", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
         F.col("q2").alias("p75"), "max")
 
@@ -112,14 +168,28 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
 
 
 def box_stats(df: DataFrame, c: str, by: Sequence[str]) -> DataFrame:
-    """Quartiles, whiskers (last value within 1.5 IQR) and number of outliers per group."""
-    marks = exact_quantiles(df, [c], [0.25, 0.5, 0.75], by).drop("metric")
+    """Quartiles, whiskers (last value within 1.5 IQR) and number of outliers per group, in two scans as `describe`.
+
+    Bounds of the quartiles give bounds of the fences, so the second scan also keeps the values that are near a fence.
+    """
+    keys, probs = [*by, "metric"], [0.25, 0.5, 0.75]
+    values, marks = moments_and_brackets(df.select(*by, clean_double(c).alias(c)), [c], probs, by)
+    (a, b), (y, z) = (F.col("lo_0"), F.col("hi_0")), (F.col("lo_2"), F.col("hi_2"))
+    low, high = (a - 1.5 * (z - a), b - 1.5 * (y - b)), (y + 1.5 * (y - b), z + 1.5 * (z - a))
+    x = F.col("value")
+    near = x.between(*low) | x.between(*high)
+    cells = durable(quantile_cells(values, keys, len(probs), near, F.min(F.when(x > low[1], x)).alias("first_in"), F.max(F.when(x < high[0], x)).alias("last_in"),
+                                   F.count(F.when((x < low[0]) | (x > high[1]), 1)).alias("out")))
+    marked = join_on(picked(cells, marks, keys, probs), marks, keys)
     spread = 1.5 * (F.col("q2") - F.col("q0"))
-    fences = marks.withColumns({"_lo": F.col("q0") - spread, "_hi": F.col("q2") + spread})
-    rows = df.select(*by, clean_double(c).alias("x")).where(F.col("x").isNotNull())
-    rows = join_on(rows, small_side(fences), list(by))
-    inside = (F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi"))
+    fences = marked.select(*keys, "q0", "q1", "q2", (F.col("q0") - spread).alias("_lo"), (F.col("q2") + spread).alias("_hi"),
+                           low[1].alias("_near_lo"), high[0].alias("_near_hi"), low[0].alias("_far_lo"), high[1].alias("_far_hi"))
+    rows, v = join_on(cells, small_side(fences), keys), F.col("v")
+    out = F.sum("out") + F.sum(F.when((v.between(F.col("_far_lo"), F.col("_lo")) & (v < F.col("_lo"))) | (v.between(F.col("_hi"), F.col("_far_hi")) & (v > F.col("_hi"))), F.col("c")).otherwise(0))
+    # Values above the near bound of a fence are inside; of the kept ones, those from the fence on.
+    inside = v.between(F.col("_lo"), F.col("_hi"))
+    reach = F.when(F.col("first_in").between(F.col("_lo"), F.col("_hi")), F.col("first_in")), F.when(F.col("last_in").between(F.col("_lo"), F.col("_hi")), F.col("last_in"))
     return rows.groupBy(*by).agg(
         F.first("q0").alias("q1"), F.first("q1").alias("median"), F.first("q2").alias("q3"),
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("outliers"))
+        F.least(F.min(F.when(inside, v)), F.min(reach[0])).alias("whisker_low"),
+        F.greatest(F.max(F.when(inside, v)), F.max(reach[1])).alias("whisker_high"), out.alias("outliers"))
