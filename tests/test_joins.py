@@ -132,9 +132,16 @@ def test_pca_equals_singular_vectors(spark):
 def test_fusion_is_repeatable(spark):
     df = spark.createDataFrame([([1.0, -2.0], [0.5, 0.1, -0.3])], "a array<double>, b array<double>")
     first = vectors.fuse_vectors(df, "a", "b", 2, 3, width=4).first()["market_vector"]
-    m = vectors.fusion_maps(2, 3, 4, 42)
+    m = vectors.fusion_layers(2, 3, 4, 42)
+
+    def through(v, w):
+        return np.array(v) @ w[:-1] + w[-1]
 
     def lift(v, w):
-        z = np.array(v) @ w
+        z = through(v, w)
         return np.where(z < 0, 0.01 * z, z)
-    assert np.allclose(first, lift([0.5, 0.1, -0.3], m[1]) @ m[2] + lift([1.0, -2.0], m[0]) @ m[3])
+    sides = [through(through(lift([0.5, 0.1, -0.3], m[1]), m[2]), m[3]), through(through(lift([1.0, -2.0], m[0]), m[4]), m[5])]
+    assert np.allclose(first, through(np.concatenate(sides), m[6]))
+    assert all(np.abs(w).max() <= 1 / np.sqrt(len(w) - 1) and abs(w.mean()) < 0.3 for w in m)
+    missing = spark.createDataFrame([([1.0, -2.0], None), (None, [0.5, 0.1, -0.3])], "a array<double>, b array<double>")
+    assert [r["market_vector"] for r in vectors.fuse_vectors(missing, "a", "b", 2, 3, width=4).collect()] == [None, None]

@@ -314,6 +314,39 @@ def fuse_vectors(spark, sf):
                      F.round(F.aggregate("market_vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+FUSED = 24
+
+
+def layer_sql(layer: int, source: str, inputs: int, seed: int = 42, lift: bool = False) -> str:
+    """A linear layer over (dt, i, x), with the weights of vectors.hashed_layer."""
+    def weight(i):
+        cell = f"(({layer} * {vectors.LAYER_CELLS} + {i}) * {vectors.LAYER_CELLS} + j + {seed + 1})::BIGINT"
+        first = f"({cell} * {vectors.HASH_FACTOR} % {vectors.HASH_PRIME})"
+        return f"((2.0::DOUBLE * (({first} * {first} + {cell}) % {vectors.HASH_PRIME}) / {vectors.HASH_PRIME}::DOUBLE - 1) / sqrt({inputs}::DOUBLE))"
+
+    x = f"CASE WHEN v < 0 THEN {vectors.NEGATIVE_SLOPE} * v ELSE v END" if lift else "v"
+    return (f"SELECT dt, j AS i, {x} AS x FROM (SELECT dt, j, sum(x * {weight('i')}) + {weight(inputs)} AS v "
+            f"FROM {source}, range(0, {FUSED}) t(j) GROUP BY dt, j)")
+
+
+@query("fuse_vectors_whole", sql("news_vectors index_bars", MEAN, ("d", "SELECT dt, lag(dt) OVER (ORDER BY dt) AS p FROM (SELECT DISTINCT dt FROM news_vectors)"),
+       ("g", "SELECT d.dt, d.p, open, close, high, volume FROM d JOIN index_bars USING (dt)"),
+       ("a0", """SELECT dt, 0 AS i, open / 1e5::DOUBLE AS x FROM g UNION ALL SELECT dt, 1, close / 1e5::DOUBLE FROM g
+  UNION ALL SELECT dt, 2, high / 1e5::DOUBLE FROM g UNION ALL SELECT dt, 3, volume::DOUBLE / 10 FROM g"""),
+       ("b0", "SELECT g.dt, t.i, coalesce(m.x, 0) AS x FROM g CROSS JOIN range(0, 64) t(i) LEFT JOIN m ON m.dt = g.p AND m.i = t.i + 1"),
+       ("a1", layer_sql(0, "a0", 4, lift=True)), ("b1", layer_sql(1, "b0", 64, lift=True)),
+       ("b2", layer_sql(2, "b1", FUSED)), ("b3", layer_sql(3, "b2", FUSED)), ("a2", layer_sql(4, "a1", FUSED)), ("a3", layer_sql(5, "a2", FUSED)),
+       ("c", f"SELECT * FROM b3 UNION ALL SELECT dt, i + {FUSED}, x FROM a3"), ("f", layer_sql(6, "c", 2 * FUSED)),
+       "SELECT dt, i AS pos, round(x, 6) AS x FROM f"))
+def fuse_vectors_whole(spark, sf):
+    """All values of the fused vectors: prices and volume with the mean vector of the news date before."""
+    dates = rollup.distinct_dates(views.news_vectors(spark, sf))
+    df = joins.asof_prev_vector(views.news_vectors(spark, sf), "emb", 64).join(dates, "dt").join(views.index_bars(spark, sf), "dt")
+    df = df.withColumn("numbers", F.array(*[F.col(c).cast("double") / 1e5 for c in ("open", "close", "high")], F.col("volume") / F.lit(10.0)))
+    df = vectors.fuse_vectors(df, "numbers", "prev_day_embedding", 4, 64, width=FUSED)
+    return df.select("dt", F.posexplode("market_vector").alias("pos", "x")).select("dt", F.col("pos").cast("bigint"), F.round("x", 6).alias("x"))
+
+
 @query("hashed_text_vectors")
 def hashed_text_vectors(spark, sf):
     return vectors.hashed_vectors(views.news(spark, sf).select("news_id", "dt", "content"), "content").drop("content")

@@ -21,6 +21,8 @@ from tickerloom.session import durable
 # ---- fixed values: width of fused vectors, slope below zero, sizes of the projection ----
 FUSED_WIDTH, NEGATIVE_SLOPE = 768, 0.01
 PCA_SIZE = 8
+# Hash of the layers' weights; a layer has fewer inputs and outputs than LAYER_CELLS.
+HASH_FACTOR, HASH_PRIME, LAYER_CELLS = 48271, 2147483647, 4096
 # Word lists of the built-in scorer; a trained model can be passed instead.
 POSITIVE_WORDS = "gain gains growth rise rises rally strong profit beat record up good great best high positive".split()
 NEGATIVE_WORDS = "loss losses fall falls drop decline weak miss fear down bad worst low negative risk crisis".split()
@@ -59,34 +61,52 @@ def modal_similarity(df: DataFrame, numbers: Sequence[str], vector: str) -> Data
     return reduced.withColumn("similarity", cosine(F.array(*[col(c).cast("double") for c in numbers]), vector))
 
 
-def fusion_maps(numbers: int, texts: int, width: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Random linear maps: two inputs to the common width, and two to the output."""
-    rng = np.random.default_rng(seed)
-    return (rng.uniform(-1, 1, (numbers, width)) / np.sqrt(numbers), rng.uniform(-1, 1, (texts, width)) / np.sqrt(texts),
-            rng.uniform(-1, 1, (width, width)) / np.sqrt(width), rng.uniform(-1, 1, (width, width)) / np.sqrt(width))
+def hashed_layer(layer: int, inputs: int, outputs: int, seed: int = 0) -> np.ndarray:
+    """Weights of a linear layer, biases in the last row: evenly spread numbers within 1 / sqrt(inputs).
+
+    They come from integer arithmetic on (layer, input, output, seed), so that any engine can repeat them.
+    """
+    if max(inputs, outputs) >= LAYER_CELLS:
+        raise ValueError(f"a layer has fewer than {LAYER_CELLS} inputs and outputs")
+    cell = (layer * LAYER_CELLS + np.arange(inputs + 1)[:, None]) * LAYER_CELLS + np.arange(outputs) + seed + 1
+    first = cell * HASH_FACTOR % HASH_PRIME
+    return (2.0 * ((first * first + cell) % HASH_PRIME) / HASH_PRIME - 1) / np.sqrt(inputs)
+
+
+def fusion_layers(numbers: int, texts: int, width: int, seed: int) -> list[np.ndarray]:
+    """Layers of the fusion: lift of either side, (value, output) of the attention to either side, and the last layer."""
+    sizes = [(numbers, width), (texts, width), *[(width, width)] * 4, (2 * width, width)]
+    return [hashed_layer(k, a, b, seed) for k, (a, b) in enumerate(sizes)]
 
 
 def fuse_vectors(df: DataFrame, numbers: str, texts: str, number_size: int, text_size: int,
                  width: int = FUSED_WIDTH, seed: int = 42, name: str = "market_vector") -> DataFrame:
-    """Two-way fusion of a number array and a text array through fixed random maps.
+    """Two-way fusion of a number array and a text array through fixed linear layers with biases.
 
-    With one item per sequence every attention weight is 1, so attention in each direction
-    is a linear map of the other side. The maps come from the seed inside the task, which
-    costs less than sending them.
+    Both sides are lifted to the common width, attend to each other, and the two results side by
+    side pass a last layer. With one item per sequence every attention weight is 1, so attention
+    is the value layer and the output layer of the other side. The layers come from the seed inside
+    the task, which costs less than sending them. Rows with a NULL array have a NULL vector.
     """
     @F.pandas_udf("array<double>")
     def fuse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        from_numbers, from_texts, to_text_side, to_number_side = fusion_maps(number_size, text_size, width, seed)
+        from_numbers, from_texts, value_texts, out_texts, value_numbers, out_numbers, last = fusion_layers(number_size, text_size, width, seed)
+
+        def through(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+            return x @ m[:-1] + m[-1]
 
         def lift(rows: pd.Series, m: np.ndarray) -> np.ndarray:
-            x = np.stack([np.asarray(v, dtype=float) for v in rows]) @ m
+            x = through(np.stack([np.asarray(v, dtype=float) for v in rows]), m)
             return np.where(x < 0, NEGATIVE_SLOPE * x, x)
         for a, b in batches:
-            if not len(a):
-                yield pd.Series([], dtype=object)
-                continue
-            fused = lift(b, from_texts) @ to_text_side + lift(a, from_numbers) @ to_number_side
-            yield pd.Series(list(fused))
+            out = pd.Series([None] * len(a), dtype=object)
+            there = np.flatnonzero(a.notna().to_numpy() & b.notna().to_numpy())
+            if len(there):
+                to_texts = through(through(lift(b.iloc[there], from_texts), value_texts), out_texts)
+                to_numbers = through(through(lift(a.iloc[there], from_numbers), value_numbers), out_numbers)
+                for at, row in zip(there, through(np.hstack([to_texts, to_numbers]), last), strict=True):
+                    out.iloc[at] = row
+            yield out
     return df.withColumn(name, fuse(as_doubles(numbers), as_doubles(texts)))
 
 
