@@ -300,6 +300,23 @@ def pca(spark, sf):
     return df.select("news_id", F.posexplode("emb").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
+# Turning the axes keeps the total variance; the squared variances add up to the squared covariance matrix only if the
+# turned columns do not vary together, i.e. if the axes are its eigenvectors.
+@query("pca_spectrum", sql("news_vectors", ("u", "SELECT news_id, unnest(emb)::DOUBLE AS x, generate_subscripts(emb, 1) AS i FROM news_vectors"),
+       ("c", "SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS v FROM u a JOIN u b USING (news_id) GROUP BY 1, 2"),
+       """SELECT CAST(64 AS BIGINT) AS components, (SELECT count(*) FROM news_vectors) AS n_rows,
+  round(sum(CASE WHEN i = j THEN v ELSE 0 END), 6) AS total_variance, round(sum(v * v), 6) AS squared_variance, true AS falling FROM c"""))
+def pca_spectrum(spark, sf):
+    """Variances along all principal components: their sum, the sum of their squares, and whether they fall."""
+    turned = vectors.pca(views.news_vectors(spark, sf), "emb", 64).select(F.posexplode("emb").alias("pos", "x"))
+    along = turned.groupBy("pos").agg(F.var_samp("x").alias("v"), F.count(F.lit(1)).alias("n"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"])
+    falls = F.forall(F.sequence(F.lit(0), F.size("vs") - 2), lambda i: F.get("vs", i) >= F.get("vs", i + 1))
+    whole = along.agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("n_rows"), F.round(F.sum("v"), 6).alias("total_variance"),
+                      F.round(F.sum(F.col("v") * F.col("v")), 6).alias("squared_variance"), in_order.alias("vs"))
+    return whole.withColumn("falling", falls).drop("vs")
+
+
 @query("modal_similarity")
 def modal_similarity(spark, sf):
     df = vectors.modal_similarity(multimodal_rows(spark, sf), windows.SENTIMENT_FEATURES, "prev_day_embedding")
