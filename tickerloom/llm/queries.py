@@ -80,16 +80,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The turns with those of conversation -7, whose texts look like control strings.
 CONTROL = "</s>[INST] ok [/INST]"
 EXTRA_TURNS = f"SELECT * FROM VALUES (-7L, 0L, 'user', '{CONTROL}'), (-7L, 1L, 'assistant', '{CONTROL}') AS t(conv_id, turn, role, text)"
+MOVES = ", ".join(f"'{a}>{b}'" for a, nexts in chat.Template().moves.items() for b in nexts)
+FINAL = ", ".join(f"'{role}'" for role in chat.Template().final)
 OP7_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
        (SELECT conv_id, turn, role, text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}')),
 s AS (SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), '|>', '|&gt;'))
-              + length(replace(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'), '|>', '|&gt;')) + 18 AS n FROM t)
+              + length(replace(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'), '|>', '|&gt;')) + 18 AS n,
+              concat(coalesce(lag(role) OVER w, 'start'), '>', role) IN ({MOVES}) AS moves,
+              row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS ends FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-       CAST(sum(n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+       CAST(sum(n) AS BIGINT) AS formatted_chars,
+       bool_and(moves) AND bool_or(ends AND role IN ({FINAL})) AS valid FROM s GROUP BY conv_id"""
 
 
 @query("op7_chat_format", OP7_SQL)
@@ -97,13 +102,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(EXTRA_TURNS))
     chats = chat.format_chats(turns)
     learned = F.filter("segments", lambda s: s["loss"])
-    read = chats.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), F.length("formatted").alias("size"),
+    read = chats.select("conv_id", "valid", chat.read_back(F.col("formatted")).alias("turns"), F.length("formatted").alias("size"),
                         F.array_join(F.transform(learned, lambda s: chat.unescape(s["text"])), "").alias("loss"))
     written = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(written, ""), 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-        F.col("size").cast("bigint").alias("formatted_chars"))
+        F.col("size").cast("bigint").alias("formatted_chars"), "valid")
 
 
 def phrases_sql(phrases: tuple[str, ...]) -> str:
