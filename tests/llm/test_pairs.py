@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -117,6 +118,18 @@ def test_repeats_of_hard_rows(hard_docs, no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_several_groups(spark, prose_of, monkeypatch):
+    """A third of the rows with one id, and equal texts without an id, give what each row gives by itself."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(substrings, "GROUP_ENTRIES", 50)
+    shared = prose_of(500, 40)
+    hot = [(7, f"{prose_of(i, 15)} {shared if i % 3 else ''} {prose_of(100 + i, 10)}") for i in range(60)]
+    rows = hot + [(None, prose_of(600, 60))] * 40 + [(i, prose_of(200 + i, 20) + (" " + shared if i % 4 == 1 else "")) for i in range(8, 60)] + [(2, shared)]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    want = Counter((i, len(t.split()), 40 if i is not None and i > 2 and shared in t else 0) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in found) == want
+
+
 def test_texts_with_too_many_words_for_letters(spark, prose_of, monkeypatch):
     monkeypatch.setattr(substrings, "LETTERS", 10)
     rows = [(k, prose_of(5, 60) + " " + prose_of(k + 20, 20)) for k in range(4)]

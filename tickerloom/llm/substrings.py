@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.arrow import blocks_of, give_back, text_bytes
 from tickerloom.llm.words import mix, window_hashes, word_hashes
-from tickerloom.session import ship_package
+from tickerloom.session import ship_package, small_side
 
 #: Words of an anchor.
 ANCHOR = 5
 #: Text of one group of documents, and anchors or windows that meet in a group, about.
 GROUP_BYTES, GROUP_ENTRIES = 4 << 20, 400_000
+#: Times GROUP_BYTES from which a bucket is dealt further.
+HOT_BUCKET = 4
 #: (anchor, document) pairs that a task holds before it writes them out.
 FLUSH = 400_000
 #: Letters that stand for the words of a group in its automaton, at most.
@@ -113,7 +115,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     the least id that has each; (3) each group of documents compiles the passages confirmed for it into an
     automaton and streams its documents through it. Anchors, windows and documents are dealt by
     hashes into groups of bounded size; what is frequent in a task or group is sent once, not once
-    for each document, so a passage in a third of all documents stays small.
+    for each document, so a passage in a third of all documents stays small. A bucket with much
+    text, because many rows share an id or equal texts have NULL ids, is dealt to several groups row by row.
 
     A NULL or empty text has no words. A row with a NULL id neither gives nor loses words. Rows with
     equal ids do not take words from each other, and each is returned. An empty table gives no
@@ -126,8 +129,19 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     parts = size // GROUP_BYTES | 1  # odd, so that evenly spaced ids do not meet
     shards = max(1, size // 30 // GROUP_ENTRIES)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
-    rows = docs.select(F.pmod(key, F.lit(parts)).alias("bucket"), F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.col(text_col).alias("text"), *[F.col(c).alias(f"__{c}") for c in extra])
+    dealt = docs.select(F.pmod(key, F.lit(parts)).alias("base"), F.col(id_col).cast("bigint").alias("doc_id"),
+                        F.col(text_col).alias("text"), *[F.col(c).alias(f"__{c}") for c in extra])
+    # A bucket with far more text than others (rows of one id) is dealt further, row by row.
+    held = dealt.groupBy("base").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > HOT_BUCKET * GROUP_BYTES)
+    hot = small_side(held.select("base", F.ceil(F.col("bytes") / F.lit(GROUP_BYTES)).cast("bigint").alias("salts")))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1)))
+    rows = dealt.join(hot, "base", "left").withColumn("bucket", F.col("base") + parts * salt).drop("salts")
+
+    def to_all_salts(told: DataFrame) -> DataFrame:
+        """Entries of a dealt bucket go to every part of it, so it does not matter where a row went."""
+        every = told.join(hot.withColumnRenamed("base", "key"), "key", "left")
+        turns = F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)
+        return every.withColumn("turn", F.explode(turns)).select((F.col("key") + parts * F.col("turn")).alias("key"), "ids", "codes")
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: list[np.ndarray] = []
@@ -192,7 +206,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                          "low": pa.array([], pa.binary()), "high": pa.array([], pa.binary())})
         if not docs_.num_rows or not told.num_rows:
             return none
-        bucket = docs_.column("bucket")[0].as_py()
+        bucket = docs_.column("base")[0].as_py()
         ids, there, data, offsets = grouped(docs_)
         known = np.unique(pair_keys(unpacked(told, "codes", np.uint64)[0], unpacked(told, "ids", np.int64)[0]))
         w = Windows(data, offsets, width)
@@ -252,13 +266,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
             return out
         return two if work in (confirm, clean) else one
 
-    told = (rows.select("bucket", "doc_id", "text").mapInArrow(send_anchors, ENTRIES)
+    told = (dealt.select("base", "doc_id", "text").mapInArrow(send_anchors, ENTRIES)
             .groupBy("key").applyInArrow(lean(recurring_anchors), ENTRIES))
-    windows = rows.groupBy("bucket").cogroup(told.groupBy("key")).applyInArrow(lean(confirm), WINDOWS)
+    windows = rows.groupBy("bucket").cogroup(to_all_salts(told).groupBy("key")).applyInArrow(lean(confirm), WINDOWS)
     places = windows.groupBy("key").applyInArrow(lean(first_places), ENTRIES)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
     schema = "doc_id bigint, " + (kinds + ", " if kinds else "") + "clean_text string, n_words bigint, n_removed bigint"
-    return rows.groupBy("bucket").cogroup(places.groupBy("key")).applyInArrow(lean(clean), schema).select(
+    return rows.groupBy("bucket").cogroup(to_all_salts(places).groupBy("key")).applyInArrow(lean(clean), schema).select(
         "doc_id", *extra, "clean_text", "n_words", "n_removed")
 
 
