@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickerloom.llm import decontamination, graph, jaccard, substrings
@@ -226,3 +228,32 @@ def test_longest_common_subsequence():
         for k, w in enumerate(a):
             masks[w] = masks.get(w, 0) | 1 << k
         assert decontamination.common_order(masks, len(a), b) == plain(a, b)
+
+
+def test_latent_space_counts_the_passages_of_all_documents(spark):
+    texts = [f"alpha{i} beta{i}" for i in range(6000)]
+    rare = np.ones(1 << decontamination.TERM_BITS, bool)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    table = decontamination.latent_space(docs, rare + 1.0, rare, "text")
+    seen = np.zeros(len(rare), bool)
+    for _, p in decontamination.passages_of(pa.array(texts)):
+        seen[decontamination.terms_of(p.words)] = True
+    assert (np.abs(table).sum(axis=1) > 1e-9).tolist() == seen.tolist()
+
+
+def test_co_occurrences_equal_plain_counts(spark, prose_of):
+    texts = [None, "", "one", "two two two", "same " * 3000, *[prose_of(i, 5 + 7 * i) for i in range(12)]]
+    terms, rows = 1 << decontamination.TERM_BITS, decontamination.ROWS
+    rare = np.ones(terms, bool)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found, want = np.zeros((terms, terms), np.int64), np.zeros((terms, terms), np.int64)
+    for r in decontamination.co_occurrences(docs, rare, "text").collect():
+        first = r["part"] * rows
+        inside = np.arange(terms) <= first + np.arange(rows)[:, None]
+        found[first:first + rows][inside] = decontamination.counts_of(r["part"], r["width"], r["counts"])
+    for _, p in decontamination.passages_of(pa.array(texts, pa.string()), rare):
+        start, stop, _, _ = p.spans()
+        for a, b in zip(start, stop, strict=True):
+            kinds, times = np.unique(decontamination.terms_of(p.words)[a:b], return_counts=True)
+            want[np.ix_(kinds, kinds)] += np.outer(times, times)
+    assert (found == np.tril(want)).all() and want.max() > 255

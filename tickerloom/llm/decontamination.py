@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickerloom.llm.arrow import BLOCK_BYTES, blocks_of, map_batches, stored, text_bytes
+from tickerloom.llm.arrow import BATCH_BYTES, BLOCK_BYTES, blocks_of, give_back, map_batches, stored, text_bytes
 from tickerloom.llm.words import LOWER, window_hashes, word_hashes
 from tickerloom.session import ship_package
 
@@ -22,8 +22,8 @@ HALF = 8
 COMMON, RUN = 0.03, 16
 #: Words of the run by which an item is looked up word for word, at most.
 ANCHOR = 8
-#: Rows that fit the latent space, about; items, and bytes of their texts, searched in one scan of the documents, about.
-SAMPLE, SEED, ITEMS, ITEM_BYTES = 4000, 7, 20_000, 16 << 20
+#: Seed of the random directions; items, and bytes of their texts, searched in one scan of the documents, about.
+SEED, ITEMS, ITEM_BYTES = 7, 20_000, 16 << 20
 #: Least cosine of a candidate; least share of an item's words in common order, without and with its answer.
 COSINE, PLAIN_SHARE, ANSWER_SHARE, ANSWER_WORDS = 0.4, 0.8, 0.6, 0.5
 #: Share of an item's words, or of 12 of them, that a candidate passage must have in any order.
@@ -33,8 +33,10 @@ SHORT = 5
 WORDS_AT_ONCE = 1 << 14
 #: (word, item) pairs that are counted at once, and bytes of texts that are searched at once, so that these stay in a core's cache.
 ENTRIES, SEARCH_BYTES = 1 << 20, 1 << 16
-#: Tasks that sum matrices over the sample, and blocks of terms in which their sums meet.
+#: Tasks that multiply the matrix of co-occurrences, and blocks of terms in which their products meet.
 SUMS, PARTS = 4, 32
+#: Rows of that matrix in a block, and cells of its lower half.
+ROWS, CELLS = 16, (1 << TERM_BITS) * ((1 << TERM_BITS) + 1) // 2
 PLAIN = LOWER.copy()
 PLAIN[[c for c in range(0x80) if not chr(c).isalnum()]] = 0x20
 
@@ -157,36 +159,159 @@ def inverse_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
+def pair_codes(p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the co-occurrence matrix of terms that a block adds to, once and twice for each entry.
+
+    Cell hi * (hi + 1) / 2 + lo stands for two words of one passage with these terms. Words of one half meet in each
+    passage of the half, words of neighbouring halves in one passage.
+    """
+    begin, row = p.halves()
+    size = np.diff(np.append(begin, len(p.words)))
+    left = np.append(False, row[1:] == row[:-1])[:len(row)]
+    right = np.append(left[1:], False)[:len(row)]
+    end = begin + size
+    own, after = np.repeat(end, size), np.repeat(np.where(right, np.append(end[1:], 0)[:len(end)], end), size)
+    two = np.repeat(left & right, size)
+    terms, place = terms_of(p.words).astype(np.uint32), np.arange(len(p.words))
+    starts = terms * (terms + np.uint32(1)) >> np.uint32(1)
+    # Words after each one that meet it twice, and words that meet it at all.
+    own, after = np.where(two, own - place, 0), after - place
+    once, twice = [], []
+    for lag in range(min(2 * HALF, len(terms))):
+        last = len(terms) - lag
+        code = np.maximum(starts[:last], starts[lag:]) + np.minimum(terms[:last], terms[lag:])
+        both, met = own[:last] > lag, after[:last] > lag
+        twice.append(code[both])
+        once.append(code[met & ~both])
+        if lag:  # Equal terms meet in either order.
+            same = np.flatnonzero(terms[:last] == terms[lag:])
+            twice.append(code[same[both[same]]])
+            once.append(code[same[(met & ~both)[same]]])
+    none = np.zeros(0, np.uint32)
+    return np.concatenate([none, *once]), np.concatenate([none, *twice])
+
+
+class PairCounts:
+    """Exact counts of matrix cells in one byte each; what does not fit into it is kept by cell."""
+
+    def __init__(self):
+        self.bytes = np.zeros(CELLS, np.uint8)
+        self.waiting: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.size = 0
+        self.cells, self.more = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, p: Passages) -> None:
+        for kept, codes in zip(self.waiting, pair_codes(p), strict=True):
+            kept.append(codes)
+            self.size += len(codes)
+        if self.size >= ENTRIES:
+            self.settle()
+
+    def settle(self) -> None:
+        for times, kept in enumerate(self.waiting, 1):
+            codes = np.concatenate(kept) if kept else np.zeros(0, np.uint32)
+            kept.clear()
+            codes.sort()
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
+            cell = codes[first]
+            total = self.bytes[cell] + times * np.diff(np.append(first, len(codes)))
+            big = total > 255
+            if big.any():
+                self.cells, self.more = np.append(self.cells, cell[big]), np.append(self.more, total[big])
+                total[big] = 0
+            self.bytes[cell] = total
+        self.size = 0
+        if len(self.cells) > ENTRIES:
+            self.cells, which = np.unique(self.cells, return_inverse=True)
+            more = np.zeros(len(self.cells), np.int64)
+            np.add.at(more, which, self.more)
+            self.more = more
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        """(part, counts) for each block of ROWS matrix rows."""
+        self.settle()
+        for part in range((1 << TERM_BITS) // ROWS):
+            lo, hi = row_start(part * ROWS), row_start((part + 1) * ROWS)
+            own = (self.cells >= lo) & (self.cells < hi)
+            if own.any():
+                block = self.bytes[lo:hi].astype(np.int64)
+                np.add.at(block, self.cells[own] - lo, self.more[own])
+            elif self.bytes[lo:hi].any():
+                block = self.bytes[lo:hi]
+            else:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block.itemsize], pa.int32()),
+                                              pa.array([pa.compress(block.tobytes(), codec="zstd", asbytes=True)], pa.binary())],
+                                             names=["part", "width", "counts"])
+
+
+def row_start(term: int) -> int:
+    return term * (term + 1) // 2
+
+
+def counts_of(part: int, width: int, packed: bytes) -> np.ndarray:
+    size = row_start((part + 1) * ROWS) - row_start(part * ROWS)
+    return np.frombuffer(pa.decompress(packed, size * width, codec="zstd"), np.uint8 if width == 1 else np.int64)
+
+
+def co_occurrences(docs: DataFrame, rare: np.ndarray, text_col: str) -> DataFrame:
+    """How often two terms meet in a passage, over all passages of all documents: blocks of ROWS rows of half the matrix.
+
+    One scan. A task adds up in memory of a fixed size, and there are no more tasks than cores, so what
+    is shuffled does not grow with the documents.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            found = PairCounts()
+            for batch in batches:
+                for _, p in passages_of(batch.column(0), rare):
+                    found.add(p)
+            yield from found.blocks()
+        finally:
+            found = None
+            give_back()
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = 0
+        for width, packed in zip(rows["width"], rows["counts"], strict=True):
+            total = total + counts_of(key[0], width, packed).astype(np.int64)
+        return pd.DataFrame({"part": [key[0]], "width": [8], "counts": [pa.compress(total.tobytes(), codec="zstd", asbytes=True)]})
+
+    spark = docs.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    schema = "part int, width int, counts binary"
+    found = docs.select(text_col).coalesce(spark.sparkContext.defaultParallelism).mapInArrow(work, schema)
+    return found.groupBy("part").applyInPandas(add, schema)
+
+
 def latent_space(docs: DataFrame, idf: np.ndarray, rare: np.ndarray, text_col: str) -> np.ndarray:
     """(terms x RANK) table that maps terms to whitened latent coordinates.
 
-    A randomised singular value decomposition of the TF-IDF matrix A of passages: the range of A'A is
-    found from random directions by passes that sum A'(A q) over the passages in tasks, and the small matrix
-    q'A'A q gives singular values and vectors. It is fitted on about SAMPLE rows, drawn row by row
-    whatever their ids are, and stored for the passes; all documents are searched.
+    A randomised singular value decomposition of the TF-IDF matrix A of the passages of all documents. A'A has a
+    fixed size and is counted exactly (`co_occurrences`); its range is found from random directions by products
+    with it, and the small matrix q'A'A q gives singular values and vectors.
     """
     terms = 1 << TERM_BITS
-    rows = docs.count()
-    if not rows:
+    if docs.isEmpty():
         return np.zeros((terms, 1), np.float32)
-    sample = stored(docs.select(F.col(text_col).alias("t")).where(F.rand(SEED) < min(1.0, SAMPLE / rows)).repartition(SUMS))
+    counts = stored(co_occurrences(docs, rare, text_col).repartition(SUMS))
     weight = idf[:, None]
 
     def multiply(q: np.ndarray) -> np.ndarray:
-        shared = docs.sparkSession.sparkContext.broadcast((weight * q).astype(np.float32))
+        shared = docs.sparkSession.sparkContext.broadcast(weight * q)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(q.shape)
             for batch in batches:
-                for _, p in passages_of(batch.column(0), rare):
-                    vectors, start, stop, _ = p.vectors(shared.value)
-                    size = stop - start
-                    where = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    term = terms_of(p.words)[where]
-                    order = np.argsort(term, kind="stable")
-                    kinds, first = np.unique(term[order], return_index=True)
-                    if len(kinds):
-                        out[kinds] += np.add.reduceat(np.repeat(vectors, size, axis=0)[order], first, axis=0)
+                for part, width, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    first, values = part * ROWS, counts_of(part, width, packed)
+                    block = np.zeros((ROWS, first + ROWS))
+                    block[np.arange(first + ROWS) <= first + np.arange(ROWS)[:, None]] = values
+                    out[first:first + ROWS] += block @ shared.value[:first + ROWS]
+                    # The other half of the matrix, without its diagonal.
+                    block[np.arange(ROWS), first + np.arange(ROWS)] = 0
+                    out[:first + ROWS] += block.T @ shared.value[first:first + ROWS]
             for part in range(PARTS):
                 block = out[part * terms // PARTS:(part + 1) * terms // PARTS]
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["part", "sum"])
@@ -195,7 +320,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rare: np.ndarray, text_col: s
             total = sum(np.frombuffer(x, np.float64) for x in sorted(rows["sum"]))
             return pd.DataFrame({"part": [key[0]], "sum": [total.tobytes()]})
 
-        summed = sample.mapInArrow(work, "part int, sum binary").groupBy("part").applyInPandas(add, "part int, sum binary")
+        summed = counts.mapInArrow(work, "part int, sum binary").groupBy("part").applyInPandas(add, "part int, sum binary")
         parts = sorted((r["part"], r["sum"]) for r in summed.collect())  # one matrix of a fixed size
         shared.unpersist()
         return weight * np.concatenate([np.frombuffer(x, np.float64) for _, x in parts]).reshape(q.shape)
