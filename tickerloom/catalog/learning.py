@@ -313,12 +313,12 @@ def market_rows(spark, sf, fusion=False):
 
 @query("multimodal_report")
 def multimodal_report(spark, sf):
-    return rounded(multimodal.evaluate(market_rows(spark, sf)), *ROUND)
+    return rounded(multimodal.evaluate(*market_rows(spark, sf)), *ROUND)
 
 
 @query("multimodal_fused_report")
 def multimodal_fused_report(spark, sf):
-    return rounded(multimodal.evaluate(market_rows(spark, sf, fusion=True), split="time"), *ROUND)
+    return rounded(multimodal.evaluate(*market_rows(spark, sf, fusion=True), split="time"), *ROUND)
 
 
 @query("multimodal_garch_report")
@@ -326,12 +326,12 @@ def multimodal_garch_report(spark, sf):
     """Market vectors with five volatility features more."""
     rows = multimodal.article_table(views.index_bars(spark, sf), views.news(spark, sf), scored_news(spark, sf), garch_too=True)
     rows = multimodal.market_rows(rows, views.news_vectors(spark, sf), 64, numbers=multimodal.NUMBERS_WITH_GARCH)
-    return rounded(multimodal.evaluate(rows, split="time"), *ROUND)
+    return rounded(multimodal.evaluate(*rows, split="time"), *ROUND)
 
 
 @query("multimodal_random_report")
 def multimodal_random_report(spark, sf):
-    return rounded(multimodal.evaluate(market_rows(spark, sf), split="random"), *ROUND)
+    return rounded(multimodal.evaluate(*market_rows(spark, sf), split="random"), *ROUND)
 
 
 @query("garch_bars")

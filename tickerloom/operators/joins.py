@@ -8,14 +8,16 @@ otherwise leaves a sort-merge join whose skewed dates adaptive execution splits.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.prompts import NO_NEWS
 from tickerloom.functions.vectors import zero_vector
 from tickerloom.operators.rollup import daily_sentiment, mean_vector, ordered_texts
 from tickerloom.operators.windows import prev_distinct_date
-from tickerloom.session import small_side
+from tickerloom.session import durable, small_side
 
 
 def join_on_date(bars: DataFrame, news: DataFrame, on: Sequence[str] = ("dt",)) -> DataFrame:
@@ -54,22 +56,29 @@ def asof_prev_rows(dates: DataFrame, news: DataFrame, by: Sequence[str] = ()) ->
     return news.withColumnRenamed("dt", "prev_dt").join(small_side(pairs), by + ["prev_dt"], "inner")
 
 
-def asof_prev_text(news: DataFrame, text: str, seq: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per date with news: all texts of the latest earlier date, joined by a blank."""
+def has_text(text: str) -> Column:
+    return F.col(text).isNotNull() & (F.col(text) != "")
+
+
+def asof_prev_text(news: DataFrame, text: str, seq: str, by: Sequence[str] = (), marks: DataFrame | None = None) -> DataFrame:
+    """Per date with news: all texts of the latest earlier date, joined by a blank.
+
+    marks: the rows without their texts, but with `has_text`, for texts that are costly to make.
+    """
     by = list(by)
-    kept = news.where(F.col(text).isNotNull() & (F.col(text) != ""))
-    pairs = latest_with_text(news, kept, by)
+    kept = news.where(has_text(text))
+    pairs = latest_with_text(news.select(*by, "dt", has_text(text).alias("has_text")) if marks is None else marks, by)
     earlier = ordered_texts(kept, by + ["dt"], [text], seq, " ")
     joined = pairs.join(earlier.select(*by, F.col("dt").alias("prev_dt"), F.col(text).alias("prev_day_news")),
                         by + ["prev_dt"], "left")
     return joined.select(*by, "dt", "prev_dt", F.coalesce("prev_day_news", F.lit(NO_NEWS)).alias("prev_day_news"))
 
 
-def latest_with_text(news: DataFrame, kept: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Each date with the latest strictly earlier date that kept any text."""
+def latest_with_text(marks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each date with the latest strictly earlier date that has any text; groups with a NULL key have none."""
     by = list(by)
-    marks = kept.select(*by, "dt").distinct().withColumn("_has", F.col("dt"))
-    days = news.select(*by, "dt").distinct().join(marks, by + ["dt"], "left")
+    known = reduce(and_, [F.col(c).isNotNull() for c in by], F.col("has_text"))
+    days = marks.groupBy(*by, "dt").agg(F.max(F.when(known, F.col("dt"))).alias("_has"))
     before = Window.partitionBy(*by).orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
     return days.select(*by, "dt", F.max("_has").over(before).alias("prev_dt"))
 
@@ -77,8 +86,8 @@ def latest_with_text(news: DataFrame, kept: DataFrame, by: Sequence[str]) -> Dat
 def asof_prev_vector(news: DataFrame, vector: str, size: int, by: Sequence[str] = ()) -> DataFrame:
     """Per date: mean vector of the latest earlier date; zeros for the first date."""
     by = list(by)
-    means = mean_vector(news, by + ["dt"], vector)
-    pairs = prev_distinct_date(news, by, "dt")
+    means = durable(mean_vector(news, by + ["dt"], vector))  # has all dates, so the rows are read once
+    pairs = prev_distinct_date(means, by, "dt")
     joined = pairs.join(means.withColumnRenamed("dt", "prev_dt"), by + ["prev_dt"], "left")
     return joined.select(*by, "dt", F.coalesce(vector, zero_vector(size)).alias("prev_day_embedding"))
 

@@ -19,7 +19,7 @@ from tickerloom.functions.vectors import as_doubles
 from tickerloom.operators import balance, folds, logistic_grid, neighbours, scaling
 from tickerloom.operators.logistic_grid import EVERYTHING, Fit
 from tickerloom.operators.rollup import union_tables
-from tickerloom.session import durable
+from tickerloom.session import durable, small_side
 
 # Strength of the penalty, tolerance of the l1 solver, tuning grid, network sizes, seed.
 PENALTY_C, LASSO_TOLERANCE = 1.0, 1e-4
@@ -93,14 +93,25 @@ def folds_scored(df: DataFrame, features: Sequence[str], label: str, k: int, kee
     return durable(union_tables(side_by_side(one, range(1, k + 1))))
 
 
-def vector_folds_scored(df: DataFrame, vector: str, label: str, k: int, keep: Sequence[str]) -> DataFrame:
-    """The same for ready vectors (market vectors), without scaling."""
-    table = durable(assembled_vector(df, vector).select(*{*keep, "features", label, "fold"}))
+def vector_folds_scored(df: DataFrame, kinds: DataFrame, vector: str, label: str, k: int, keep: Sequence[str],
+                        key: str = "vector_id") -> DataFrame:
+    """The same for ready vectors (market vectors), without scaling.
+
+    kinds has one vector for each `key`. Rows of one vector, label and fold enter the fits as one row that weighs as
+    many, and each vector is scored once, so rows never carry their vectors.
+    """
+    table = durable(df.select(*{*keep, key, label, "fold"}))
+    vectors = small_side(kinds.select(key, vector))
+    counts = table.groupBy(key, label, "fold").agg(F.count(F.lit(1)).alias("_n"))
+    weighted = durable(assembled_vector(counts.join(vectors, key), vector).select("features", label, "fold", "_n"))
 
     def one(f: int) -> DataFrame:
-        train = folds.train_rows(table, f)
-        model = logistic(train.count(), label=label).fit(train)
-        return scored(model, folds.test_rows(table, f), label, keep)
+        train = folds.train_rows(weighted, f)
+        rows = train.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        model = logistic(rows, label=label).setWeightCol("_n").fit(train)
+        known = scored(model, assembled_vector(vectors, vector).withColumn(label, F.lit(None).cast("int")), label, [key])
+        rows = folds.test_rows(table, f).withColumnRenamed(label, "y_true").join(small_side(known.drop("y_true")), key)
+        return rows.select(*keep, "y_true", "y_prob", "y_pred")
 
     return durable(union_tables(side_by_side(one, range(1, k + 1))))
 

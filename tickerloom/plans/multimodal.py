@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.functions.text import clean_text, dedupe_sentences
 from tickerloom.operators import balance, columns, folds, garch, joins, metrics, models, rollup, scaling, vectors, windows
+from tickerloom.session import durable, join_on, small_side
 
 LABEL = "movement"
 # The volatility features that may join the numbers.
@@ -42,23 +43,31 @@ def article_table(bars: DataFrame, news: DataFrame, scores: DataFrame, garch_too
 
 
 def market_rows(articles: DataFrame, emb: DataFrame, size: int, fusion: bool = False, seed: int = 42,
-                numbers: Sequence[str] = tuple(windows.SENTIMENT_FEATURES)) -> DataFrame:
-    """Article rows with scaled numbers and a market vector (concatenated or fused).
+                numbers: Sequence[str] = tuple(windows.SENTIMENT_FEATURES)) -> tuple[DataFrame, DataFrame]:
+    """(article rows with a `vector_id` for their texts and numbers, market vector of each id, concatenated or fused).
 
-    Vectors are averaged per date and moved to the next date before they meet the rows.
+    Vectors are averaged per date and moved to the next date before they meet the rows; numbers are scaled over all rows.
+    Articles of a date have the same numbers as a rule, so a vector is made once for each date and set of numbers. The rows
+    are checkpointed without their texts, which are cleaned only once.
     """
-    dated = articles.select("dt", "news_id").join(emb, ["dt", "news_id"])
-    earlier = joins.asof_prev_vector(dated, "emb", size)
     numbers = list(numbers)
-    rows = scaling.scale(joins.join_on_date(earlier, articles.drop("title", "cleaned_content")), numbers)
+    articles = durable(articles.drop("title", "cleaned_content"))
+    dated = articles.select("dt", "news_id").join(emb, ["dt", "news_id"])
+    earlier = durable(joins.asof_prev_vector(dated, "emb", size))
+    rows = joins.join_on_date(earlier.select("dt"), articles)
+    kinds = durable(rows.select("dt", *numbers).distinct().withColumn("vector_id", F.monotonically_increasing_id()))
+    ready = scaling.scale(kinds, numbers, rows).join(earlier, "dt")
     if not fusion:
-        return vectors.market_vector(rows, numbers, "prev_day_embedding")
-    packed = rows.withColumn("_numbers", F.array(*numbers))
-    return vectors.fuse_vectors(packed, "_numbers", "prev_day_embedding", len(numbers), size, seed=seed).drop("_numbers")
+        ready = vectors.market_vector(ready, numbers, "prev_day_embedding")
+    else:
+        packed = ready.withColumn("_numbers", F.array(*numbers))
+        ready = vectors.fuse_vectors(packed, "_numbers", "prev_day_embedding", len(numbers), size, seed=seed)
+    return join_on(rows, small_side(kinds), ["dt", *numbers]).drop(*numbers), ready.select("vector_id", "market_vector")
 
 
-def evaluate(rows: DataFrame, split: str = "folds", k: int = folds.FOLDS, share: float = folds.TRAIN_SHARE) -> DataFrame:
-    """Logistic regression on market vectors: expanding folds, or one time or random hold-out."""
+def evaluate(rows: DataFrame, market_vectors: DataFrame, split: str = "folds", k: int = folds.FOLDS,
+             share: float = folds.TRAIN_SHARE) -> DataFrame:
+    """Logistic regression on the result of `market_rows`: expanding folds, or one time or random hold-out."""
     rows = rows.withColumn("ret", F.col("daily_return"))
     if split == "folds":
         table = folds.time_series_folds(rows, k, "dt", "news_id")
@@ -68,7 +77,7 @@ def evaluate(rows: DataFrame, split: str = "folds", k: int = folds.FOLDS, share:
         table = balance.stratified_split(rows, 1 - share, LABEL, "news_id")
     if split != "folds":
         table, k = table.withColumn("fold", F.when(F.col("part") == "test", 1)), 1
-    scored = models.vector_folds_scored(table, "market_vector", LABEL, k, ["dt", "news_id", "fold", "ret"])
+    scored = models.vector_folds_scored(table, market_vectors, "market_vector", LABEL, k, ["dt", "news_id", "fold", "ret"])
     return metrics.fold_report(scored, overall="fold_mean", auc="score")
 
 
