@@ -26,6 +26,8 @@ HASH_FACTOR, HASH_PRIME, LAYER_CELLS = 48271, 2147483647, 4096
 # Word lists of the built-in scorer; a trained model can be passed instead.
 POSITIVE_WORDS = "gain gains growth rise rises rally strong profit beat record up good great best high positive".split()
 NEGATIVE_WORDS = "loss losses fall falls drop decline weak miss fear down bad worst low negative risk crisis".split()
+# Bytes of a batch of prompts, about (or one prompt).
+PROMPT_BYTES = 8 << 20
 # ---- end of fixed values ----
 
 
@@ -154,10 +156,18 @@ def word_list_scores(df: DataFrame, text: str) -> DataFrame:
 
 def score_prompts(df: DataFrame, prompt: str, client: Callable[[], Callable[[list[str]], list[str]]],
                   name: str = "output") -> DataFrame:
-    """Model output per prompt. `client()` returns prompts -> outputs, once per task."""
+    """Model output per prompt. `client()` returns prompts -> outputs, once per task.
+
+    Batches are bounded by bytes, since a prompt may hold all news of a date. A prompt is dropped before the next batch comes.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PROMPT_BYTES))
+
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = client()
         for prompts in batches:
-            yield pd.Series(model(prompts.tolist()), dtype=object)
+            found = pd.Series(model(prompts.tolist()), dtype=object)
+            del prompts
+            yield found
+            del found
     return df.withColumn(name, ask(col(prompt)))

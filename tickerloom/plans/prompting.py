@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.functions import prompts
 from tickerloom.operators import folds, joins, rollup, vectors, windows
+from tickerloom.session import durable
 
 # Columns of the rows behind the named fields of a prompt.
 FIELD_COLUMNS = dict(zip(prompts.PROMPT_FIELDS, [
@@ -26,8 +27,11 @@ def test_dates(articles: DataFrame, k: int = folds.FOLDS, unit: str = "row") ->
 
 
 def prompt_table(articles: DataFrame, k: int = folds.FOLDS, shots: int = 2, unit: str = "row") -> DataFrame:
-    earlier = joins.asof_prev_text(articles.select("dt", "news_id", "cleaned_content"), "cleaned_content", "news_id")
-    rows = test_dates(articles.drop("cleaned_content", "title"), k, unit).join(earlier.drop("prev_dt"), "dt")
+    """One prompt per test date. The rows are read several times, so they are checkpointed without their texts."""
+    rows = durable(articles.withColumn("has_text", joins.has_text("cleaned_content")).drop("cleaned_content", "title"))
+    texts = articles.select("dt", "news_id", "cleaned_content")
+    earlier = joins.asof_prev_text(texts, "cleaned_content", "news_id", marks=rows)
+    rows = test_dates(rows, k, unit).join(earlier.drop("prev_dt"), "dt")
     return rows.withColumn("prompt", prompts.build_prompt(FIELD_COLUMNS, "prev_day_news", shots)).drop("prev_day_news")
 
 
