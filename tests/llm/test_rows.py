@@ -218,3 +218,11 @@ def test_classifiers_of_hard_rows(spark, hard_docs, no_docs):
         assert len(rows) == hard_docs.count() and found.columns == ["doc_id", "score"]
         assert all(0 <= r["score"] <= 1 for r in rows)
     assert neighbours.vote(no_docs, voters).count() == 0 and toxicity.score(no_docs, model).count() == 0
+
+
+def test_encoded_runs_stay_flat():
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    for runs in (["cat"], ["cat", "unbelievably", "straße"], ["...", "cat", "x1"]):
+        ids, sizes = encoder.encode_runs(runs)
+        want = [encoder.tokenizer.encode(r, add_special_tokens=False).ids for r in runs]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]

@@ -44,25 +44,24 @@ class WordEncoder:
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def encode_runs(self, runs: list[str]) -> list[list[int]]:
-        """Plain words go through the tokenizer as one text, which is faster; the rest one by one."""
-        joined = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
-        words = np.array(joined.word_ids, dtype=float)
-        cuts = np.flatnonzero(np.diff(words)) + 1
-        if len(cuts) + 1 == len(runs) and all(map(str.isalpha, runs)):
-            return [x.tolist() for x in np.split(np.array(joined.ids, np.int32), cuts)]
-        return [x.ids for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+    def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each run). Plain words go through the tokenizer as one text, which is faster; the rest one by one."""
+        if all(map(str.isalpha, runs)):
+            joined = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
+            ids, cuts = np.array(joined.ids, np.int32), np.flatnonzero(np.diff(np.array(joined.word_ids, dtype=float))) + 1
+            if len(cuts) + 1 == len(runs):
+                return ids, np.diff(np.concatenate([[0], cuts, [len(ids)]]))
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     def learn(self, hashes: np.ndarray, runs: list[str]) -> None:
-        found: list[list[int]] = []
         plain = sorted(range(len(runs)), key=lambda i: not runs[i].isalpha())
-        for i in range(0, len(runs), 1000):
-            found += self.encode_runs([runs[k] for k in plain[i:i + 1000]])
+        found, counts = zip(*(self.encode_runs([runs[k] for k in plain[i:i + 1000]]) for i in range(0, len(runs), 1000)), strict=True)
         if len(self.known) + len(runs) > CACHE_WORDS:
             self.clear()
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.concatenate(counts)
         begins = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, *found])
         new = hashes[plain]
         order = np.argsort(new, kind="stable")
         at = np.searchsorted(self.known, new[order])
